@@ -50,6 +50,7 @@ LABELLED = [
     (40, 0.00, 2, 1.00, 12, 0.00, 0, 0, 1, 0), (7, 0.00, 1, 1.00, 9, 0.00, 0, 0, 1, 0), (3, 1.00, 1, 1.00, 60, 0.00, 0, 0, 1, 0), (80, 0.01, 60, 0.00, 1, 1.00, 0, 0, 1, 0),
     (70, 0.00, 55, 0.00, 60, 0.00, 0, 0, 0, 1), (40, 0.05, 9, 0.00, 33, 0.00, 0, 0, 0, 1), (28, 0.00, 30, 0.00, 4, 0.50, 0, 0, 0, 1), (22, 0.20, 50, 0.00, 48, 0.00, 0, 0, 0, 1),
     (5, 0.00, 60, 0.00, 55, 0.00, 0, 0, 0, 1), (8, 0.00, 2, 1.00, 60, 0.00, 0, 0, 0, 1), (10, 0.00, 45, 0.00, 38, 0.10, 0, 0, 0, 1), (15, 0.00, 20, 0.00, 25, 0.00, 0, 0, 0, 1),
+    (20, 0.00, 2, 1.00, 21, 0.00, 0, 0, 0, 1), (21, 0.00, 20, 0.00, 1, 1.00, 0, 0, 0, 1), (18, 0.00, 1, 1.00, 1, 1.00, 0, 0, 0, 1), (90, 0.05, 3, 1.00, 2, 1.00, 0, 0, 0, 1),
     (1, 1.00, 1, 1.00, 1, 1.00, 0, 0, 0, 0), (6, 1.00, 5, 1.00, 7, 1.00, 0, 0, 0, 0), (25, 0.80, 30, 0.70, 20, 0.90, 0, 0, 0, 0), (12, 0.60, 50, 0.00, 9, 0.80, 0, 0, 0, 0),
     (5, 0.00, 1, 1.00, 3, 1.00, 0, 0, 0, 0), (4, 0.00, 60, 0.00, 0, 0.00, 0, 0, 0, 0), (3, 0.00, 2, 0.00, 2, 0.00, 0, 0, 0, 0), (7, 0.00, 1, 1.00, 4, 0.00, 0, 0, 0, 0),
     (30, 0.00, 1, 1.00, 60, 0.00, 0, 1, 0, 0), (50, 0.00, 60, 0.00, 40, 0.00, 0, 1, 0, 0), (8, 0.00, 60, 0.00, 50, 0.00, 0, 1, 0, 0), (2, 1.00, 50, 0.00, 60, 0.00, 0, 1, 0, 0),
