@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     roots = stored(classes(ids), "roots")
     least = roots.join(ids, "fp").groupBy("root").agg(F.min("id").alias("component_id"))
     joined = ids.join(roots.join(least, "root").select("fp", "component_id"), "fp", "left")
-    of_print = joined.select("fp", F.coalesce("component_id", "id").alias("component_id"))
+    of_print = stored(joined.select("fp", F.coalesce("component_id", "id").alias("component_id")), "components")
     return rows.join(of_print, "fp").select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
