@@ -37,7 +37,7 @@ def radii(units: DataFrame, centers: DataFrame, by: list[str]) -> DataFrame:
 def zone_maps(units: DataFrame, by: list[str], numeric: list[str], categorical: list[str]) -> DataFrame:
     """`by`, n, lo_/hi_ of numbers, nulls_ of both, set_ of categories (null beyond TRACKED), max_ts if there is a ts."""
     ranges = [f(F.col(c)).alias(f"{p}_{c}") for c in numeric for p, f in (("lo", F.min), ("hi", F.max))]
-    nulls = [F.count(F.when(F.col(c).isNull(), 1)).alias(f"nulls_{c}") for c in [*numeric, *categorical]]
+    nulls = [F.count(F.when(F.col(c).isNull(), 1)).alias(f"nulls_{c}") for c in dict.fromkeys([*numeric, *categorical])]
     newest = [F.max("ts").alias("max_ts")] if "ts" in units.columns else []
     out = units.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *ranges, *nulls, *newest)
     for c in categorical:

@@ -142,7 +142,7 @@ class Store:
         units = self.spark.read.parquet(f"{self.path}/segment-{n}")
         fixed = {"row_id", "doc_id", "ordinal", "vec", "terms", "text", "block_id", "_batch"}
         numeric = [f.name for f in units.schema.fields if f.name not in fixed and f.dataType.typeName() in ("double", "float", "integer", "long")]
-        categorical = [f.name for f in units.schema.fields if f.name not in fixed and f.dataType.typeName() in ("string", "integer", "long") and f.name != "tokens"]
+        categorical = [f.name for f in units.schema.fields if f.name not in fixed and f.dataType.typeName() in ("string", "integer") and f.name != "tokens"]
         made = {"units": f"segment-{n}", "summary": f"summary-{n}", "facets": None, "terms": None, "norms": None}
         summary.summarize(units, ["block_id"], d, numeric, categorical).write.parquet(f"{self.path}/summary-{n}")
         if c.facet_columns:
