@@ -34,7 +34,7 @@ def corpus(spark: SparkSession, n: int = 10_000, d: int = 48, clusters: int = 25
                 words = {f"t{t}": float(rng.gamma(2, 0.35)) for t in pool}
                 age = float(rng.gamma(2, 90)) * DAY
                 lang = int(min(3, rng.zipf(2.0) - 1))
-                out.append((i, i // per_doc, int(i % per_doc), int(np.clip(rng.normal(90, 22), 24, 220)), NOW - age, v.astype("float32").tolist(), list(words.items()), f"[doc {i // per_doc} unit {i % per_doc}]", lang, int(i // per_doc % 32), float(rng.beta(5, 2)), c))
+                out.append((i, i // per_doc, int(i % per_doc), int(np.clip(rng.normal(90, 22), 24, 220)), NOW - age, v.astype("float32").tolist(), words, f"[doc {i // per_doc} unit {i % per_doc}]", lang, int(i // per_doc % 32), float(rng.beta(5, 2)), c))
             yield pd.DataFrame(out, columns=["row_id", "doc_id", "ordinal", "tokens", "ts", "vec", "terms", "text", "lang", "tenant", "quality", "cluster"])
 
     schema = "row_id long, doc_id long, ordinal int, tokens int, ts double, vec array<float>, terms map<string,double>, text string, lang int, tenant int, quality double, cluster int"
