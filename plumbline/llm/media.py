@@ -6,8 +6,9 @@ a tar shard in the shared folder.  An index holds digest, shard, offset and leng
 alone fill the metadata columns (width, height, depth); whole reads give the features.
 
 Tasks write to names of their own attempt, and only the index of the attempt that Spark committed is used, so lost
-executors and repeated tasks leave at most an unused shard.  Copies of a payload are dropped within a task before the
-shuffle by digest, so a payload that a third of all rows share arrives once per task.
+executors and repeated tasks leave at most an unused shard.  Media whose digest occurs once are written where they are made; those that
+may have copies are dropped within a task, then shuffled by digest, so one that a third of all rows share arrives once
+per task.
 
 Defined results: null text counts as empty (64 zero bytes).  Rows are independent; repeated rows, null doc_id and extra
 columns are harmless; an empty table gives an empty table."""
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import empty_if_null, new_path, prepare, stored
+from .common import empty_if_null, in_buckets, new_path, prepare, stored
 
 WIDTH, BLOCK = 64, 512
 
@@ -41,7 +42,7 @@ HEADER = len(SIGNATURE) + 25
 
 INDEX = "digest binary, shard string, offset long, length long"
 META = "width long, height long, depth int, colour int"
-FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+FEATURES = "payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string"
 
 
 def payload_column(text: Column) -> Column:
@@ -107,15 +108,20 @@ def _filesystem(path: str):
 
 
 def payloads(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(digest, media) of the texts, copies within a task dropped."""
-    prepare(docs.sparkSession)
+    """(digest, payload) of the texts, in the JVM."""
+    return docs.select(payload_column(empty_if_null(text)).alias("payload")).select(F.unhex(F.sha2("payload", 256)).alias("digest"), "payload")
+
+
+def encoded(rows: DataFrame) -> DataFrame:
+    """(digest, media) of payloads, copies within a task dropped."""
+    prepare(rows.sparkSession)
 
     def run(batches):
         seen: set[bytes] = set()
         for b in batches:
             digests, media = [], []
-            for x in b.column(0).to_pylist():
-                if (d := hashlib.sha256(x).digest()) not in seen:
+            for d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if d not in seen:
                     seen.add(d)
                     digests.append(d)
                     media.append(to_media(x))
@@ -123,11 +129,13 @@ def payloads(docs: DataFrame, text: str = "text") -> DataFrame:
                 seen.clear()
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(media, pa.binary())], ["digest", "media"])
 
-    return docs.select(payload_column(empty_if_null(text)).alias("payload")).mapInArrow(run, "digest binary, media binary")
+    return rows.mapInArrow(run, "digest binary, media binary")
+
 
+def write_shards(media: DataFrame, folder: str, deal: bool = True) -> DataFrame:
+    """Writes each digest's media once into tar shards under `folder`; the stored index of them.
 
-def write_shards(media: DataFrame, folder: str) -> DataFrame:
-    """Writes each digest's media once into tar shards under `folder`; the stored index of them."""
+    deal False says that no digest comes twice: then each task writes what it has, and no media are shuffled."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -162,7 +170,8 @@ def write_shards(media: DataFrame, folder: str) -> DataFrame:
             out.write(b"\0" * (2 * BLOCK))
             out.close()
 
-    return stored(media.repartition("digest").sortWithinPartitions("digest").mapInArrow(run, INDEX), "media-index")
+    dealt = media.repartition("digest").sortWithinPartitions("digest") if deal else media
+    return stored(dealt.mapInArrow(run, INDEX), "media-index")
 
 
 def _read(index: DataFrame, folder: str, limit: int | None, f, kinds: list[tuple[str, pa.DataType]], schema: str) -> DataFrame:
@@ -197,24 +206,32 @@ def with_metadata(index: DataFrame, folder: str) -> DataFrame:
 
 def _features(data: bytes) -> tuple:
     payload = from_media(data)
-    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(data), hashlib.sha256(data).hexdigest(), feature(payload)
+    return len(payload), hashlib.sha256(payload).digest(), zlib.crc32(payload[-WIDTH:]), len(data), hashlib.sha256(data).digest(), feature(payload)
 
 
 def with_features(index: DataFrame, folder: str) -> DataFrame:
     """index with sizes, digests and the feature of what is stored, read back whole."""
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
     return _read(index, folder, None, _features, list(zip([x.split()[0] for x in FEATURES.split(", ")], kinds)), FEATURES)
 
 
 def media_columns(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Each row's doc_id and n_bytes beside the place, metadata and features of its payload."""
-    folder = new_path(docs.sparkSession, "media")
-    index = write_shards(payloads(docs, text), folder)
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    read = stored(with_features(with_metadata(index.repartition(parts, "shard").sortWithinPartitions("shard", "offset"), folder), folder), "media-features")
+    spark, folder = docs.sparkSession, new_path(docs.sparkSession, "media")
     texts = docs.select(docs[f"`{doc_id}`"].cast("long").alias("doc_id"), empty_if_null(text).alias("text"))
-    rows = texts.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2(payload_column(F.col("text")), 256)).alias("digest"))
-    return rows.join(read, "digest").select("doc_id", "n_bytes", *(x.split()[0] for x in FEATURES.split(", ")), F.lower(F.hex("digest")).alias("digest"), "shard", "offset", "length", "width", "height", "depth")
+    digest = F.unhex(F.sha2(payload_column(F.col("text")), 256)).alias("digest")
+    rows = stored(texts.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), digest), "media-rows")
+    # only media that may come twice are shuffled to meet their copies
+    repeated = stored(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"), "media-repeated")
+    maybe, once = in_buckets(payloads(docs, text), F.col("digest"), repeated)
+    index = write_shards(encoded(maybe), folder).unionByName(write_shards(encoded(once), folder, deal=False))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    read = stored(with_features(with_metadata(index.repartition(parts, "shard").sortWithinPartitions("shard", "offset"), folder), folder), "media-features")
+    hexadecimal = lambda c: F.lower(F.hex(c)).alias(c)
+    return rows.join(read, "digest").select(
+        "doc_id", "n_bytes", "payload_bytes", hexadecimal("payload_sha256"), "tail_crc32", "media_bytes", hexadecimal("media_sha256"), "feature",
+        hexadecimal("digest"), "shard", "offset", "length", "width", "height", "depth",
+    )
 
 
 def members(folder: str, shard: str) -> dict[str, bytes]:

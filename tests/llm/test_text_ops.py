@@ -133,7 +133,7 @@ def test_media(edges, none, spark):
 
 def test_shards_are_tar_files_with_each_payload_once(edges, spark):
     folder = common.new_path(spark, "media")
-    index = media.write_shards(media.payloads(edges.unionAll(edges)), folder)
+    index = media.write_shards(media.encoded(media.payloads(edges.unionAll(edges))), folder)
     found = {}
     for s in {r.shard for r in index.collect()}:
         for name, data in media.members(folder, s).items():
