@@ -15,7 +15,7 @@ from ..functions.score import fused
 from ..model import Certificate, ScoreSpec, SearchStats
 from . import summary
 
-#: Rows of the first wave, and the share of rows beyond which the rest is scanned at once.
+#: Most rows of the first wave (a fiftieth of all, if that is less), and the share of rows beyond which the rest is scanned at once.
 WAVE_ROWS, SCAN_SHARE = 4096, 0.3
 
 
@@ -83,7 +83,7 @@ def pruned_top_k(units: DataFrame, block_bounds: DataFrame, spec: ScoreSpec, k:
 
     if memtable is not None:
         take(memtable)
-    at, size, limit = 0, WAVE_ROWS, len(live) if block_budget is None else min(block_budget, len(live))
+    at, size, limit = 0, min(WAVE_ROWS, max(4 * k, stats.rows_total // 50)), len(live) if block_budget is None else min(block_budget, len(live))
     while at < limit:
         kth = best[k - 1][0] if len(best) >= k else -math.inf
         if kth > -math.inf and live[at].ub <= kth * (1 + epsilon if kth > 0 else 1) - slack:
@@ -93,7 +93,7 @@ def pruned_top_k(units: DataFrame, block_bounds: DataFrame, spec: ScoreSpec, k:
             rows += live[end].n
             end += 1
         scanned = sum(r.n for r in live[:end])
-        if block_budget is None and scanned > SCAN_SHARE * max(1, stats.rows_total) and epsilon == 0:
+        if kth > -math.inf and block_budget is None and scanned > SCAN_SHARE * max(1, stats.rows_total) and epsilon == 0:
             # too little is pruned: read what could still matter in one job
             end = at
             while end < limit and not (kth > -math.inf and live[end].ub <= kth - slack):
