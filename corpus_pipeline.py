@@ -40,7 +40,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack),
 ]
 
-#: A trained classifier and greedy packing have no SQL form; tests hold the result against a brute-force version.
+#: A trained classifier and greedy packing have no SQL form; each stage's operator is held against brute force in tests.
 ORACLE_SQL = None
 
 
