@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.score import l2_normalize
+from ..shipping import ship
 
 #: Units of the sample for the coarse centres, most coarse centres, units of one task's part, least size of a block.
 SAMPLE, CENTRES, CELL, LEAST = 20_000, 256, 50_000, 16
@@ -71,6 +72,7 @@ def coarse_centres(units: DataFrame, k: int, seed: int = 0) -> np.ndarray:
 def lay_out(units: DataFrame, block_size: int = 256, max_radius: float | None = 0.7, partition_by: str | None = None, seed: int = 0, cell: int = CELL) -> DataFrame:
     """units (vec at unit length) with block_id, a string; values of partition_by never share a block."""
     spark = units.sparkSession
+    ship(spark)
     units = units.withColumn("vec", l2_normalize(F.col("vec")).cast("array<float>"))
     n = units.count()
     centres = spark.sparkContext.broadcast(coarse_centres(units, min(CENTRES, max(1, n // max(1, cell // 4))), seed))

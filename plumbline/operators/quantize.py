@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.score import inner_product, vector
 from ..model import ScoreSpec
+from ..shipping import ship
 from .search import top_k
 
 
@@ -40,6 +41,7 @@ class Quantizer:
     def encoded(self, units: DataFrame) -> DataFrame:
         """row_id, code (packed signs) and scale."""
         rotation = self.rotation
+        ship(units.sparkSession)
 
         def run(frames):
             for f in frames:
@@ -51,6 +53,7 @@ class Quantizer:
     def estimated(self, codes: DataFrame, spec: ScoreSpec) -> DataFrame:
         """row_id and estimate of the inner product with the query."""
         q, d = np.asarray(spec.dense) @ self.rotation, len(self.rotation)
+        ship(codes.sparkSession)
 
         def run(frames):
             for f in frames:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.predicates import NONE, conjunction, verdict
 from ..functions.score import fused
 from ..model import Certificate, ScoreSpec, SearchStats
+from ..shipping import ship
 from . import summary
 
 #: Most rows of the first wave (a fiftieth of all, if that is less), and the share of rows beyond which the rest is scanned at once.
@@ -116,6 +117,7 @@ def batch_top_k(units: DataFrame, queries: np.ndarray, k: int = 10) -> DataFrame
     """query, row_id, score: exact dense top-k of many queries, one matrix product per Arrow batch.
 
     queries is a matrix the caller holds already; each task sends at most k rows a query."""
+    ship(units.sparkSession)
     sent = units.sparkSession.sparkContext.broadcast(np.asarray(queries, np.float64))
 
     def run(batches):

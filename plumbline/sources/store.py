@@ -61,15 +61,17 @@ class Store:
 
     # --- writing
 
-    def insert(self, batch: DataFrame) -> None:
-        """Appends units; row_ids are the caller's.  Rows deleted before stay so; the new ones are not."""
+    def insert(self, batch: DataFrame, **marks) -> None:
+        """Appends units; row_ids are the caller's.  Rows deleted before stay so; the new ones are not.
+
+        `marks` are noted in the manifest that makes the rows visible, so a writer can tell what it has inserted."""
         weights = F.forall(F.map_values("terms"), lambda w: w >= 0) if "terms" in batch.columns else F.lit(True)
         if not batch.where(~F.coalesce(weights, F.lit(True))).isEmpty():
             raise ValueError("term weights must not be negative: the bounds rest on it")
         name = f"memtable-{self._number()}"
         batch.withColumn("vec", l2_normalize(F.col("vec")).cast("array<float>")).withColumn("_batch", F.lit(self.state["next"])).write.parquet(f"{self.path}/{name}")
         rows = self.spark.read.parquet(f"{self.path}/{name}").count()
-        self._commit(memtable=[*self.state["memtable"], name], memtable_rows=self.state["memtable_rows"] + rows)
+        self._commit(memtable=[*self.state["memtable"], name], memtable_rows=self.state["memtable_rows"] + rows, **marks)
         if self.state["memtable_rows"] >= self.config.memtable_rows:
             self.flush()
 

@@ -13,7 +13,6 @@ def ingest(stream: DataFrame, store: Store, checkpoint: str, **trigger) -> Strea
 
     def take(batch: DataFrame, number: int) -> None:
         if number > store.state.get("stream", -1) and not batch.isEmpty():
-            store.insert(batch)
-            store._commit(stream=number)
+            store.insert(batch, stream=number)
 
     return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -1,6 +1,9 @@
 """The retrieval engine: bounds against brute force, exactness, the store's life, assembly and the language."""
 
 import math
+import os
+import subprocess
+import sys
 
 import duckdb
 import numpy as np
@@ -18,6 +21,8 @@ from plumbline.sources.store import Store
 
 D = 16
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
 
 @pytest.fixture(scope="module")
 def corpus(spark):
@@ -287,3 +292,20 @@ def test_queries_match_their_sql(spark, sf):
         if name not in SLOW:
             assert plain(queries()[name](spark, sf).toArrow()) == plain(c.sql(sql).to_arrow_table()), name
     assert entry.entry(spark).count() == 10
+
+
+def test_workers_need_no_path_to_the_package(tmp_path):
+    """Run from another folder without PYTHONPATH, Python workers get the package by shipping."""
+    code = f"""
+import sys
+sys.path.insert(0, {ROOT!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+import __spark_entry__ as entry
+for name in ("quant_topk", "partition_layout", "topk_batch"):
+    print(name, len(entry.queries()[name](spark, "/root/testdata/sf0.001").collect()))
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert all(int(line.split()[1]) > 0 for line in done.stdout.splitlines() if line.startswith(("quant", "partition", "topk")))
