@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Rows of an Arrow batch sent to Python.  Texts average a few KB, so a batch stays at a few MB.
 ARROW_ROWS = 1000
 
@@ -23,16 +22,8 @@ _own: dict[str, str] = {}
 
 
 def prepare(spark: SparkSession) -> None:
-    """Ships this package to the Python workers, once a context, and bounds their Arrow batches."""
-    context = spark.sparkContext
-    if not getattr(context, "_plumbline_shipped", False):
-        root = Path(__file__).resolve().parents[1]
-        target = os.path.join(_temporary("ship"), "plumbline.zip")
-        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, str(p.relative_to(root.parent)))
-        context.addPyFile(target)
-        context._plumbline_shipped = True
+    """Ships the package to the Python workers and bounds their Arrow batches."""
+    ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
