@@ -1,8 +1,9 @@
 """Operator 9, a quality classifier: naive Bayes support vectors.
 
-Features are indicators of n-grams of words and of word shapes (one and two in a row, noting repeats).  Each is scaled
-by the log ratio of its smoothed counts in the two classes, rows are brought to unit length, and a linear hinge-loss
-model is fitted by dual coordinate descent; a logistic curve over its margins makes the score a probability.
+Features are indicators of n-grams of words and of word shapes (one and two in a row, noting repeats), and of which
+words among four in a row repeat the one before.  Each is scaled by the log ratio of its smoothed counts in the two
+classes, rows are brought to unit length, and a linear hinge-loss model is fitted by dual coordinate descent; a
+logistic curve over its margins makes the score a probability.
 
 The fit uses a bounded sample: at most SAMPLE labelled rows, those with the least hashes of doc_id, whole texts.  The
 model holds the features that stand in at least LEAST of them, so its size is bounded too.  Scoring covers every whole
@@ -46,6 +47,10 @@ def shape(word: str) -> str:
     return re.sub(r"(.)\1+", r"\1+", word)[:12]
 
 
+#: A feature for each way in which three words in a row may repeat the one before.
+RUNS = np.array([xxh64_intdigest(str(i), 3) for i in range(8)], np.uint64)
+
+
 class Features:
     """Texts to sorted distinct feature hashes; one per task, with a memo of words."""
 
@@ -71,7 +76,8 @@ class Features:
         with np.errstate(over="ignore"):
             pairs = word[1:] * np.uint64(0x9E3779B97F4A7C15) + word[:-1]
             forms = form[1:] * np.uint64(0xC2B2AE3D27D4EB4F) + form[:-1] + repeat
-        return np.unique(np.concatenate([word, form, pairs, forms]))
+        runs = np.unique(repeat[2:] * np.uint64(4) + repeat[1:-1] * np.uint64(2) + repeat[:-2]) if len(words) > 3 else repeat[:0]
+        return np.unique(np.concatenate([word, form, pairs, forms, RUNS[runs]]))
 
 
 class Model:
