@@ -136,3 +136,11 @@ def test_pages_table(spark):
         assert r.text == "\n\n".join(p for p in parts if p)
     edge = spark.createDataFrame([(1, None, None, 5), (None, "u", "<p>x", 6), (2, "u", "", 7)], "page_id long, url string, html string, text int")
     assert html.extracted(edge).count() == 3 and html.extracted(edge.limit(0)).count() == 0
+
+
+def test_quality_notes_runs_of_repeats():
+    from plumbline.llm.quality import RUNS, Features
+
+    features = Features()
+    assert RUNS[7] in features("so so so so it goes") and RUNS[7] not in features("so so so it goes on")
+    assert RUNS[0] in features("no word comes twice") and not set(RUNS.tolist()) & set(features("only three words").tolist())
