@@ -1,7 +1,7 @@
 """Operator 8 [native], licence scans by sentence rules.
 
 A text is cut into sentences, each is normalised (lower case, runs of other than letters and digits to one space), and
-those that are known licence sentences become their identifiers.  The sequence of identifiers is matched against the
+those that are known licence sentences become their identifiers, be they wrapped over several lines or not.  The sequence of identifiers is matched against the
 rules in order: a rule names the identifiers that must follow one another.  Only DataFrame functions run, all within
 the row: no shuffle, no broadcast; texts without any trigger word are passed over, which loses nothing, for each known
 sentence holds one.
@@ -69,13 +69,31 @@ RULES = [
 #: Each known sentence holds one of these.
 TRIGGERS = ["licensed", "released", "license", "permission", "copyright", "redistribution"]
 
-#: Where a sentence ends: marks followed by white space, a colon or semicolon alone no end; an empty line; a line's end.
-ENDS, NOISE = r"[.!?]+[\x20\x09]+|[.!?]*[\x0A-\x0D]+|[.!?]+$", r"[^a-z0-9]+"
+#: Steps to normalised lines, in order: an abbreviation's mark is no end; marks before white space end a sentence, as does
+#: an empty line; runs of other than letters and digits are one space; lines are trimmed.  Fixed values, as RE2 and Java take them.
+STEPS = [
+    (r"(\A|[\x20\x09-\x0D,(])v\.[\x20\x09]+([0-9])", r"\1v \2"),
+    (r"[.!?]+(?:[\x20\x09-\x0D]|\z)", "\n\n"),
+    (r"[^a-z0-9\x0A-\x0D]+", " "),
+    (r"\x20?(?:\x0D\x0A|[\x0A-\x0D])\x20?", "\n"),
+]
+
+#: A known sentence over whole lines, one or several without an empty one between them, perhaps after a list's number.
+#: The longest comes first, so that of two which begin alike the longer is found.
+KNOWN = rf"(?m)^(?:[0-9]{{1,2}}\x20)?({'|'.join(s.replace(' ', '[\\x20\\x0A]') for s in sorted(SENTENCES, key=lambda s: (-len(s), s)))})$"
+
+
+def normalised(text: Column) -> Column:
+    """The lines of a text in normalised form, an empty line after each sentence's end."""
+    out = F.lower(text)
+    for pattern, new in STEPS:
+        out = F.regexp_replace(out, pattern, new.replace("\\", "$"))
+    return F.trim(out)
 
 
-def sentences(text: Column) -> Column:
-    """The normalised sentences of a text."""
-    return F.transform(F.split(F.lower(text), ENDS, -1), lambda s: F.trim(F.regexp_replace(s, NOISE, " ")))
+def known_sentences(text: Column) -> Column:
+    """The known sentences of a text, in order."""
+    return F.transform(F.regexp_extract_all(normalised(text), F.lit(KNOWN), F.lit(1)), lambda s: F.translate(s, "\n", " "))
 
 
 def rule_column(ids: Column, rules: list[tuple[str, list[str]]] = RULES) -> Column:
@@ -88,7 +106,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     """doc_id, licence, licences, sentence_ids and n_sentences (known ones) of each row."""
     rows = docs.select(docs[f"`{doc_id}`"].cast("long").alias("doc_id"), empty_if_null(text).alias("text"))
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    ids = F.array_compact(F.transform(F.filter(sentences(F.col("text")), lambda s: s != ""), lambda s: F.try_element_at(known, s)))
+    ids = F.transform(known_sentences(F.col("text")), lambda s: F.element_at(known, s))
     ids = F.when(F.col("text").rlike("(?i)" + "|".join(TRIGGERS)), ids).otherwise(F.array().cast("array<string>"))
     found = rows.select("doc_id", ids.alias("ids")).select("doc_id", F.array_join("ids", ",").alias("sentence_ids"), F.size("ids").cast("long").alias("n_sentences"))
     found = found.withColumn("matched", rule_column(F.col("sentence_ids")))
@@ -98,10 +116,13 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 def scan_sql() -> str:
     """The same in DuckDB's SQL."""
     known = ", ".join(f"'{k}': '{v}'" for k, v in SENTENCES.items())
+    lines = "lower(coalesce(text, ''))"
+    for pattern, new in STEPS:
+        lines = f"regexp_replace({lines}, '{pattern}', '{new}', 'g')"
     each = ", ".join(f"CASE WHEN contains(',' || sentence_ids || ',', ',{','.join(need)},') THEN '{name}' END" for name, need in RULES)
     return rf"""
-WITH s AS (SELECT doc_id, list_transform(string_split_regex(lower(coalesce(text, '')), '{ENDS}'), lambda x: trim(regexp_replace(x, '{NOISE}', ' ', 'g'))) AS parts FROM documents),
-     i AS (SELECT doc_id, list_filter(list_transform(parts, lambda x: MAP {{{known}}}[x]), lambda x: x IS NOT NULL) AS ids FROM s),
+WITH s AS (SELECT doc_id, regexp_extract_all(trim({lines}), '{KNOWN}', 1) AS parts FROM documents),
+     i AS (SELECT doc_id, list_transform(parts, lambda x: MAP {{{known}}}[replace(x, chr(10), ' ')]) AS ids FROM s),
      j AS (SELECT doc_id, coalesce(array_to_string(ids, ','), '') AS sentence_ids, len(ids) AS n_sentences FROM i),
      m AS (SELECT *, list_filter([{each}], lambda x: x IS NOT NULL) AS raw FROM j),
      d AS (SELECT *, list_filter(raw, lambda x, k: list_position(raw, x) = k) AS matched FROM m)

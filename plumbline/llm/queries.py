@@ -86,6 +86,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from .licences import scan_sql
+    from . import licences, secrets
 
-    return {"op8_licences": scan_sql(), "op10_exact": OP10_SQL}
+    return {"op4_secrets": secrets.scan_sql(), "op8_licences": licences.scan_sql(), "op10_exact": OP10_SQL}

@@ -135,3 +135,27 @@ def redacted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", reposi
             c = F.when(F.col("any"), F.length("text").cast(f.dataType)).otherwise(c)
         columns.append(c.alias(f.name))
     return docs.where(~x.rlike(VALUE)).unionByName(changed.select(*columns))
+
+
+def scan_sql() -> str:
+    """The same in DuckDB's SQL, whose patterns have no look-around: runs are taken whole and judged afterwards."""
+    names = "password passwd secret token api_?key".split()
+    either = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in n) for n in names)
+    assign = ASSIGN.replace("(?i:password|passwd|secret|token|api_?key)", f"(?:{either})").replace("'", "''")
+    patterns = [assign, "AKIA[A-Z0-9]+", "[0-9a-f]+", f"{RUN}+"]
+    matches = " UNION ALL ".join(f"SELECT serial, {k} AS kind, regexp_extract_all(t, '{p}') AS hits, string_split_regex(t, '{p}') AS gaps FROM d" for k, p in enumerate(patterns))
+    listed = lambda which: f"coalesce(string_agg(CASE kind {' '.join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(KINDS))} END || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop) FILTER ({which}), '')"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS serial, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS repository FROM documents),
+     m AS ({matches}),
+     e AS (SELECT serial, kind, unnest(range(len(hits))) AS i, unnest(hits) AS hit, unnest(gaps[:len(hits)]) AS gap FROM m WHERE len(hits) > 0),
+     s AS (SELECT serial, kind, hit, (sum(length(gap) + length(hit)) OVER (PARTITION BY serial, kind ORDER BY i))::BIGINT AS stop FROM e),
+     c AS (SELECT serial, kind, hit, stop - length(hit) AS start, stop FROM s WHERE CASE kind
+            WHEN 0 THEN length(regexp_extract(hit, '{assign}', 1)) >= {ASSIGN_LENGTH} WHEN 1 THEN length(hit) >= 18 WHEN 2 THEN length(hit) >= 16
+            ELSE length(hit) >= 16 AND regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]') END),
+     o AS (SELECT hit, count(DISTINCT split_part(repository, '/', 1)) <= {MAX_OWNERS} AND count(DISTINCT repository) <= {MAX_REPOSITORIES} AS live FROM c JOIN d USING (serial) WHERE kind = 3 GROUP BY hit),
+     a AS (SELECT c.*, kind = 3 AND o.live AS live, kind = 3 AND NOT o.live AS copied FROM c LEFT JOIN o USING (hit))
+SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+       sha256({listed("kind < 3")}) AS base_sha256, {listed("kind < 3 OR live")} AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (copied) AS n_copied
+FROM d LEFT JOIN a USING (serial) GROUP BY d.serial, d.doc_id
+"""

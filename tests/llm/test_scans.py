@@ -2,7 +2,9 @@
 
 import hashlib
 import re
+import textwrap
 
+import duckdb
 import pytest
 
 from plumbline.llm import licences, secrets
@@ -85,25 +87,72 @@ def test_redaction(make):
     assert secrets.redacted(docs.limit(0)).count() == 0
 
 
+def _known(lines):
+    """The identifier of the longest known sentence that the first lines (of words) make up, and their number."""
+    best, words = (None, 1), []
+    for n, line in enumerate(lines, 1):
+        if not line:
+            break
+        words = words + line
+        for w in (words, words[1:] if re.fullmatch("[0-9]{1,2}", words[0]) else words):
+            if " ".join(w) in licences.SENTENCES:
+                best = licences.SENTENCES[" ".join(w)], n
+    return best
+
+
 def _licence(t):
-    parts = [re.sub(licences.NOISE, " ", s).strip() for s in re.split(licences.ENDS, (t or "").lower())]
-    ids = [licences.SENTENCES[p] for p in parts if p in licences.SENTENCES]
+    t = re.sub(r"(\A|[\x20\x09-\x0D,(])v\.[\x20\x09]+([0-9])", r"\1v \2", (t or "").lower())
+    ids = []
+    for sentence in re.split(r"[.!?]+(?:[\x20\x09-\x0D]|\Z)", t):
+        lines = [re.findall("[a-z0-9]+", x) for x in re.split(r"\r\n|[\x0A-\x0D]", sentence)]
+        while lines:
+            name, n = _known(lines)
+            ids += [name] if name else []
+            lines = lines[n:]
     joined = f",{','.join(ids)},"
     found = list(dict.fromkeys(n for n, need in licences.RULES if f",{','.join(need)}," in joined))
     return found[0] if found else None, ",".join(found), ",".join(ids), len(ids)
 
 
+def _wrapped(t, width):
+    return "\n".join(f"# {x}" for x in textwrap.wrap(t, width))
+
+
 def test_licences(make):
     mit = [k for k, v in licences.SENTENCES.items() if v in ("mit-grant", "mit-condition")]
     texts = ["Released under the MIT License.", "a\nLicensed under the Apache License, Version 2.0.\nb", "This work is licensed under the GNU General Public License, version 3. And CC.", ". ".join(mit) + ".", ". ".join(reversed(mit)) + ".", "Licensed under CC BY-NC 4.0.\r\nReleased under the MIT License!!", "licensed under the MIT licence", "é RELEASED   under -- the\tMIT License"]
-    rows = [*EDGES, *((100 + i, t) for i, t in enumerate(texts))]
+    bsd = [k for k, v in licences.SENTENCES.items() if v.startswith("bsd-")]
+    gpl = next(k for k, v in licences.SENTENCES.items() if v == "gpl-3.0-later")
+    wrapped = [
+        "MIT License\n\nCopyright (c) 2020 X\n\n" + "\n#\n".join(_wrapped(s + ".", 40) for s in mit),
+        "// Licensed under the Apache License, Version 2.0\r\n// (the \"License\");\r\n// you may not use this file except in\r\n// compliance with the License.",
+        _wrapped(bsd[0], 60) + "\n" + "\n".join(f"{i}. " + textwrap.fill(s + ".", 50) for i, s in enumerate(bsd[1:], 1)),
+        "This Source Code Form is subject to the terms of the\nMozilla Public License, v. 2.0. If a copy",
+        "Released under\n\nthe MIT License",  # an empty line parts them
+        "a line\nreleased\nunder the\nMIT\nLicense\nanother",
+        _wrapped(gpl, 30),
+        "so released\nunder the MIT License",  # not from a line's start
+    ]
+    rows = [*EDGES, *((100 + i, t) for i, t in enumerate(texts)), *((200 + i, t) for i, t in enumerate(wrapped))]
     got = licences.scan(make(rows)).collect()
     assert sorted(repr(tuple(r)) for r in got) == sorted(repr((d, *_licence(t))) for d, t in rows)
     by = {r.doc_id: r.licence for r in got}
     assert [by[100 + i] for i in range(6)] == ["MIT", "Apache-2.0", "GPL-3.0-only", "MIT", None, "MIT"]
+    assert [by[200 + i] for i in range(8)] == ["MIT", "Apache-2.0", "BSD-3-Clause", "MPL-2.0", None, "MIT", "GPL-3.0-or-later", None]
     assert licences.scan(make(rows).limit(0)).count() == 0
 
 
+def test_sql_gives_the_same(make):
+    rows = _rows() + [(200, "x released under\nthe MIT License!\nlicensed under the\r\nMIT License", "a/x")]
+    docs = make([(d, t) for d, t, _ in rows], source=[s for _, _, s in rows])
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    for operator in (secrets, licences):
+        want = con.sql(operator.scan_sql())
+        got = operator.scan(docs).select(want.columns).collect()
+        assert sorted(repr(tuple(r)) for r in got) == sorted(map(repr, want.fetchall()))
+
+
 def test_each_known_sentence_has_a_trigger():
     assert all(any(t in s for t in licences.TRIGGERS) for s in licences.SENTENCES)
     assert {x for _, need in licences.RULES for x in need} == set(licences.SENTENCES.values())
