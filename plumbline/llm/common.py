@@ -15,8 +15,8 @@ from ..shipping import ship
 #: Rows of an Arrow batch sent to Python.  Texts average a few KB, so a batch stays at a few MB.
 ARROW_ROWS = 1000
 
-#: Buckets of the prefilters below: a broadcast of at most this many longs.
-PREFILTER_BUCKETS = 1 << 17
+#: Buckets of the prefilters below, a bit each in pages of 4 KB: a broadcast of 1024 pages, 4 MB.
+PREFILTER_BUCKETS, PAGE = 1 << 25, 1 << 15
 
 _own: dict[str, str] = {}
 
@@ -68,11 +68,21 @@ def bucket(key: Column) -> Column:
 def in_buckets(df: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Splits df into rows whose key may be among `keys` (one column) and rows whose key surely is not.
 
-    The broadcast holds at most PREFILTER_BUCKETS longs whatever the size of `keys`; once they fill all buckets,
-    every row counts as possible and goes the exact way, so the result never depends on the bound."""
-    some = F.broadcast(keys.select(bucket(F.col(f"`{keys.columns[0]}`")).alias("_bucket")).distinct())
+    The broadcast holds a bit for each of PREFILTER_BUCKETS buckets whatever the size of `keys`; once they fill all
+    buckets, every row counts as possible and goes the exact way, so the result never depends on the bound."""
+    own = keys.select(bucket(F.col(f"`{keys.columns[0]}`")).alias("_bucket"))
+    own = own.select(F.shiftright("_bucket", 15).alias("_page"), F.pmod("_bucket", F.lit(PAGE)).alias("_place"))
+    # all pages, so that memory and time do not depend on how many buckets are taken
+    every = df.sparkSession.range(-(-PREFILTER_BUCKETS // PAGE)).select(F.col("id").alias("_page"), F.lit(None).cast("long").alias("_place"))
+    own = own.unionByName(every)
+    # dealt by page as plain numbers first: a partial bitmap in each task would send 4 KB a page and task
+    pages = F.broadcast(own.repartition("_page").groupBy("_page").agg(F.bitmap_construct_agg("_place").alias("_bits")))
     tagged = df.withColumn("_bucket", bucket(key))
-    return tagged.join(some, "_bucket", "left_semi").drop("_bucket"), tagged.join(some, "_bucket", "left_anti").drop("_bucket")
+    place = F.pmod("_bucket", F.lit(PAGE))
+    byte = F.conv(F.hex(F.substring(pages["_bits"], (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), F.pmod(place, F.lit(8)).cast("int"))) != 0
+    among = (F.shiftright(tagged["_bucket"], 15) == pages["_page"]) & bit
+    return tagged.join(pages, among, "left_semi").drop("_bucket"), tagged.join(pages, among, "left_anti").drop("_bucket")
 
 
 def empty_if_null(name: str) -> Column:

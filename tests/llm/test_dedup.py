@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from plumbline.llm import components, exact, simhash
+from plumbline.llm import common, components, exact, simhash
 
 from .conftest import EDGES
 
@@ -164,3 +164,18 @@ def test_components_of_paths_and_stars(spark):
     found = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert found == {**dict.fromkeys(range(n + 1), 0), **dict.fromkeys(range(1000, 1050), 1000)}
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+@pytest.mark.parametrize("full", [False, True])
+def test_prefilter_misses_no_key(spark, monkeypatch, full):
+    if full:  # few buckets, all taken
+        monkeypatch.setattr(common, "PREFILTER_BUCKETS", 64)
+    df = spark.range(20000).select(F.when(F.col("id") > 0, F.col("id")).alias("key"), F.lit("x").alias("_page"))
+    maybe, surely_not = common.in_buckets(df, F.col("key"), spark.range(0, 20000, 7).select(F.col("id").alias("k")))
+    assert maybe.columns == surely_not.columns == ["key", "_page"]
+    found, rest = {r.key for r in maybe.collect()}, {r.key for r in surely_not.collect()}
+    assert not found & rest and len(found) + len(rest) == 20000
+    assert set(range(7, 20000, 7)) <= found
+    assert full == (not rest) and (full or len(found) < 3000)
+    nothing, every = common.in_buckets(df, F.col("key"), spark.range(0).select(F.col("id").alias("k")))
+    assert nothing.count() == 0 and every.count() == 20000
