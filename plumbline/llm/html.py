@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from functools import cache
 
 import pyarrow as pa
@@ -111,6 +112,7 @@ def blocks(page: str) -> list[Block]:
     """The text blocks of a page, in order."""
     found: list[Block] = []
     open_: list[tuple[str, bool, bool, bool, bool]] = []  # name, in main, in a part named so, in another part, silent
+    counts: Counter[str] = Counter()  # open elements by name, so that stray end tags cost nothing in deep nesting
     main = weak = other = silent = False
     parts: list[str] = []
     linked: list[str] = []
@@ -147,9 +149,11 @@ def blocks(page: str) -> list[Block]:
         flush()
         if m["end"]:
             in_link = False
-            if any(x[0] == name for x in open_):
-                while open_.pop()[0] != name:
-                    pass
+            if counts[name]:
+                closed = ""
+                while closed != name:
+                    closed = open_.pop()[0]
+                    counts[closed] -= 1
                 _, main, weak, other, silent = open_[-1] if open_ else ("", False, False, False, False)
             continue
         if name in VOID or m["rest"].endswith("/>"):
@@ -160,6 +164,7 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in CLOSING and open_ and open_[-1][0] == name:
             open_.pop()
+            counts[name] -= 1
             _, main, weak, other, silent = open_[-1] if open_ else ("", False, False, False, False)
         if name == "body":
             silent = False
@@ -170,6 +175,7 @@ def blocks(page: str) -> list[Block]:
         other = other or bad or (name in OTHER and not (name == "header" and main))
         silent = silent or name in SILENT
         open_.append((name, main, weak, other, silent))
+        counts[name] += 1
     flush()
     return found
 

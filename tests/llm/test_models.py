@@ -122,6 +122,11 @@ def test_broken_pages(page):
     assert isinstance(html.extract(page), str)
 
 
+def test_stray_end_tags_in_deep_nesting_take_linear_time():
+    n = 100_000
+    assert html.extract("<article>" + "<div>" * n + "</section>" * n + "text of it</article>") == "text of it"
+
+
 def test_pages_table(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     rows = html.extracted(pages).collect()
