@@ -35,6 +35,13 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_table(spark, sf_dir, "documents"))
 
 
+def op4_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live or copied for every candidate.  op4_secrets, whose columns its SQL fixes, judges whole runs alone."""
+    from .secrets import verdicts
+
+    return verdicts(_table(spark, sf_dir, "documents"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identified
 
@@ -82,7 +89,7 @@ FROM t JOIN g USING (norm)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_packing, op3_media, op4_secrets, op5_language, op6_html, op7_simhash, op8_licences, op9_quality, op10_exact)}
+    return {f.__name__: f for f in (op1_bpe, op2_packing, op3_media, op4_secrets, op4_verdicts, op5_language, op6_html, op7_simhash, op8_licences, op9_quality, op10_exact)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -32,6 +32,9 @@ VALUE = rf"(?<!{RUN})(?={RUN}*[0-9])(?={RUN}*[A-Za-z]){RUN}{{16,}}+"
 #: The kinds in order; `live` is what the method adds.
 KINDS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "live": VALUE}
 
+#: The kinds of candidates that `verdicts` judges; `value` is a run found by VALUE.
+CANDIDATES = ["assign", "access", "hex", "value"]
+
 #: A value that more owners or more repositories than this hold is a copied example.
 MAX_OWNERS, MAX_REPOSITORIES = 2, 3
 
@@ -109,6 +112,36 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repository
     return some.unionByName(rest).drop("serial")
 
 
+def credentials(found: DataFrame) -> DataFrame:
+    """The credential in each match of `spans`: its `value` and the value's place `at` to `end`, beside the match's own."""
+    value = F.when(F.col("kind") == 0, F.regexp_extract("hit", ASSIGN, 1)).otherwise(F.col("hit"))
+    return found.withColumn("value", value).withColumn("at", F.col("stop") - F.length("value")).withColumn("end", F.col("stop"))
+
+
+def judged(each: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
+    """`credentials` with `live`, from one ownership count over all kinds; a place found by several kinds counts once."""
+    once = each.select("serial", "repository", "at", "end", F.col("value").alias("hit")).distinct()
+    verdicts = live_hashes(once, max_owners, max_repositories).select("hash", "live")
+    return each.withColumn("hash", F.md5("value")).join(verdicts, "hash").drop("hash")
+
+
+def verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repository: str = "source", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
+    """doc_id, verdicts, n_live and n_copied of each row: every candidate of every kind as kind:start:stop:verdict.
+
+    The places are those of the matches; n_live and n_copied count places of credentials, each once."""
+    rows = scanned(docs, doc_id, text, repository, list(KINDS))
+    found = stored(credentials(spans(rows)), "credentials")
+    each = judged(found, max_owners, max_repositories)
+    one = F.struct("start", "kind", "stop", "at", "end", "live")
+    places = lambda live: F.size(F.array_distinct(F.transform(F.filter("all", lambda v: v["live"] == live), lambda v: F.struct(v["at"], v["end"])))).cast("long")
+    word = lambda v: F.concat_ws(":", F.element_at(F.array(*map(F.lit, CANDIDATES)), v["kind"] + 1), v["start"], v["stop"], F.when(v["live"], "live").otherwise("copied"))
+    some = each.groupBy("serial", "doc_id").agg(F.sort_array(F.collect_list(one)).alias("all"))
+    some = some.select("serial", "doc_id", F.array_join(F.transform("all", word), ",").alias("verdicts"), places(F.lit(True)).alias("n_live"), places(F.lit(False)).alias("n_copied"))
+    rest = rows.join(found.select("serial").distinct(), "serial", "left_anti")
+    rest = rest.select("serial", "doc_id", F.lit("").alias("verdicts"), F.lit(0).cast("long").alias("n_live"), F.lit(0).cast("long").alias("n_copied"))
+    return some.unionByName(rest).drop("serial")
+
+
 def redacted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repository: str = "source", mark: str = "[REDACTED]", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """docs with live-looking values replaced by `mark`; copied examples and all else stay.
 
