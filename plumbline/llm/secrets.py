@@ -32,6 +32,17 @@ VALUE = rf"(?<!{RUN})(?={RUN}*[0-9])(?={RUN}*[A-Za-z]){RUN}{{16,}}+"
 #: The kinds in order; `live` is what the method adds.
 KINDS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "live": VALUE}
 
+#: A run or an assigned value is cut at "=" and "/" down to the credential, the same in every notation; "=" stays as
+#: padding at the end.  PART: 16 and more characters without either, with a letter and a digit.  BASE64: 32 and more with
+#: "/" inside, of both cases and digits, none of whose parts is a word or a number.  PATH: what has no PART, whole.
+_C, _S, _B = "[A-Za-z0-9_+-]", "[A-Za-z0-9_+/-]", "[A-Za-z0-9+/]"
+_WORD = "(?:[A-Z][a-z]{2,}|[a-z]{3,}|[A-Z]{3,}|[0-9]{3,})"
+_PAD = r"(?:={1,2}(?![A-Za-z0-9_+/=.-]))?"
+PART = rf"(?<!{_C})(?={_C}*[0-9])(?={_C}*[A-Za-z]){_C}{{16,}}+"
+BASE64 = rf"(?<!{_S})(?={_B}*/)(?={_B}*[0-9])(?={_B}*[a-z])(?={_B}*[A-Z])(?!(?:{_B}*/)?{_WORD}(?:/|(?!{_S}))){_B}{{32,}}+(?!{_S})"
+PATH = rf"(?<!{_S})(?!{_S}*?{PART})(?={_S}*[0-9])(?={_S}*[A-Za-z]){_S}{{16,}}+"
+CREDENTIAL = rf"(?:{BASE64}|{PART}|{PATH}){_PAD}"
+
 #: The kinds of candidates that `verdicts` judges; `value` is a run found by VALUE.
 CANDIDATES = ["assign", "access", "hex", "value"]
 
@@ -113,9 +124,23 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repository
 
 
 def credentials(found: DataFrame) -> DataFrame:
-    """The credential in each match of `spans`: its `value` and the value's place `at` to `end`, beside the match's own."""
-    value = F.when(F.col("kind") == 0, F.regexp_extract("hit", ASSIGN, 1)).otherwise(F.col("hit"))
-    return found.withColumn("value", value).withColumn("at", F.col("stop") - F.length("value")).withColumn("end", F.col("stop"))
+    """The credentials in the matches of `spans`: `value` and its place `at` to `end`, beside the match's own.
+
+    A bare run has one for each of its parts, all else one: of an assigned value the longest part decides, and short
+    values go whole, without "=" before and "." after them."""
+    columns = found.columns
+    bare = found.where("kind = 3").select(*columns, _matches(F.col("hit"), CREDENTIAL).alias("m"))
+    bare = bare.select(*columns, F.posexplode(F.arrays_zip(F.slice("m.gaps", 1, F.size("m.hits")).alias("gap"), F.col("m.hits").alias("value"))).alias("j", "z"))
+    before = Window.partitionBy("serial", "i").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
+    bare = bare.withColumn("end", F.col("start") + F.sum(F.col("z.gap") + F.length("z.value")).over(before))
+    bare = bare.select(*columns, F.col("z.value").alias("value"), (F.col("end") - F.length("z.value")).alias("at"), "end")
+    whole = F.when(F.col("kind") == 0, F.regexp_extract("hit", ASSIGN, 1)).otherwise(F.col("hit"))
+    bounded = F.regexp_replace(whole, r"^=+(?=[^=])|(?<=[^.])\.+$", "")
+    parts = F.transform(F.regexp_extract_all(bounded, F.lit(CREDENTIAL), F.lit(0)), lambda p: F.struct(F.length(p).alias("n"), p.alias("p")))
+    own = F.when(F.col("kind") == 0, F.coalesce(F.array_max(parts)["p"], bounded)).otherwise(whole)
+    end = F.col("stop") - F.length(F.regexp_extract(whole, r"(?<=[^.])(\.+)$", 1))
+    rest = found.where("kind < 3").select(*columns, own.alias("value"), (end - F.length(bounded)).alias("at"), end.alias("end"))
+    return bare.unionByName(rest)
 
 
 def judged(each: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
@@ -128,11 +153,12 @@ def judged(each: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int
 def verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repository: str = "source", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """doc_id, verdicts, n_live and n_copied of each row: every candidate of every kind as kind:start:stop:verdict.
 
-    The places are those of the matches; n_live and n_copied count places of credentials, each once."""
+    The places are those of the matches, and of the credential for kind `value`; n_live and n_copied count places of credentials, each once."""
     rows = scanned(docs, doc_id, text, repository, list(KINDS))
     found = stored(credentials(spans(rows)), "credentials")
     each = judged(found, max_owners, max_repositories)
-    one = F.struct("start", "kind", "stop", "at", "end", "live")
+    own = lambda c, place: F.when(F.col("kind") == 3, F.col(place)).otherwise(F.col(c)).alias(c)
+    one = F.struct(own("start", "at"), "kind", own("stop", "end"), "at", "end", "live")
     places = lambda live: F.size(F.array_distinct(F.transform(F.filter("all", lambda v: v["live"] == live), lambda v: F.struct(v["at"], v["end"])))).cast("long")
     word = lambda v: F.concat_ws(":", F.element_at(F.array(*map(F.lit, CANDIDATES)), v["kind"] + 1), v["start"], v["stop"], F.when(v["live"], "live").otherwise("copied"))
     some = each.groupBy("serial", "doc_id").agg(F.sort_array(F.collect_list(one)).alias("all"))

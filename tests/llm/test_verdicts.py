@@ -24,3 +24,20 @@ def test_each_base_candidate_has_a_verdict(make):
 def test_one_place_counts_once(make):
     got = _verdicts(make, [('token = "0123456789abcdef0123"', "a")])
     assert got[0] == ("assign:0:29:live,hex:9:29:live,value:9:29:live", 1, 0)
+
+
+def test_a_value_counts_once_in_all_notations(make):
+    v = "Zx9Zx9Zx9Zx9Zx9Zx9"
+    texts = [f"export API_KEY={v}", f'api_key: "{v}"', f"https://host.com/a/b/{v}", f"password={v}.", f"x {v}", f"TOKEN_OF={v}== x"]
+    got = _verdicts(make, [(t, f"o{i}/x") for i, t in enumerate(texts)])
+    assert all("live" not in got[i][0] and got[i][1:] == (0, 1) for i in range(5))
+    at = len("https://host.com/a/b/")
+    assert got[2][0] == f"value:{at}:{at + 18}:copied"
+    assert got[5][1:] == (1, 0)  # padded: another value
+
+
+def test_base64_with_slashes_is_one_value(make):
+    v = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    got = _verdicts(make, [(f"k={v}", "a"), (f"secret: {v}", "b"), (v, "c"), ("/usr/lib/python3/dist-packages/foo", "d")])
+    assert [got[i][0].split(":")[0] for i in range(3)] == ["value", "assign", "value"]
+    assert all(got[i][1:] == (0, 1) for i in range(3)) and got[3][1] == 1
