@@ -43,6 +43,10 @@ BASE64 = rf"(?<!{_S})(?={_B}*/)(?={_B}*[0-9])(?={_B}*[a-z])(?={_B}*[A-Z])(?!(?:{
 PATH = rf"(?<!{_S})(?!{_S}*?{PART})(?={_S}*[0-9])(?={_S}*[A-Za-z]){_S}{{16,}}+"
 CREDENTIAL = rf"(?:{BASE64}|{PART}|{PATH}){_PAD}"
 
+#: What a bare credential must have to be blanked: 8 and more letters and digits together that change between the two
+#: at least twice, or the form of base64.
+SHAPE = rf"(?<![A-Za-z0-9])(?=[A-Za-z0-9]{{8}})[A-Za-z0-9]*?(?:[A-Za-z][0-9]+[A-Za-z]|[0-9][A-Za-z]+[0-9])|{BASE64}"
+
 #: The kinds of candidates that `verdicts` judges; `value` is a run found by VALUE.
 CANDIDATES = ["assign", "access", "hex", "value"]
 
@@ -185,6 +189,11 @@ def redacted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", reposi
     marks = F.zip_with("hits", "live", lambda h, d: F.when(d["live"], F.lit(mark)).otherwise(h))
     fixed = F.array_join(F.zip_with("parts", F.concat(marks, F.array(F.lit(""))), lambda p, m: F.concat(p, m)), "")
     changed = some.join(per_row, "serial").withColumn("text", F.when(F.col("any"), fixed).otherwise(F.col(f"row.`{text}`")))
+    return docs.where(~x.rlike(VALUE)).unionByName(_unpacked(docs, changed, text))
+
+
+def _unpacked(docs: DataFrame, changed: DataFrame, text: str) -> DataFrame:
+    """The columns of docs from `row`, with the new `text` and, where `any` is true, its length in n_chars."""
     columns = []
     for f in docs.schema.fields:
         c = F.col(f"row.`{f.name}`")
@@ -193,7 +202,32 @@ def redacted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", reposi
         elif f.name == "n_chars" and f.dataType.typeName() in ("long", "integer"):
             c = F.when(F.col("any"), F.length("text").cast(f.dataType)).otherwise(c)
         columns.append(c.alias(f.name))
-    return docs.where(~x.rlike(VALUE)).unionByName(changed.select(*columns))
+    return changed.select(*columns)
+
+
+def cleaned(docs: DataFrame, text: str = "text", repository: str = "source", mark: str = "[REDACTED]", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
+    """docs with the live credentials of all kinds replaced by `mark`, overlapping ones by one; all else stays.
+
+    Names around a credential stay.  A bare run goes only if it has the shape of one (SHAPE); paths and slugs have not.
+    Rows without a candidate pass untouched; the others are stored with their matches and joined to the verdicts."""
+    x = empty_if_null(text)
+    possible = x.rlike("|".join(f"(?:{p})" for p in KINDS.values()))
+    found = F.array(*[F.struct(F.lit(i).alias("kind"), _matches(F.col("text"), p).alias("m")) for i, p in enumerate(KINDS.values())])
+    some = docs.where(possible).select(F.struct("*").alias("row"), x.alias("text"), empty_if_null(repository).alias("repository"))
+    some = stored(some.select(F.monotonically_increasing_id().alias("serial"), F.lit(None).cast("long").alias("doc_id"), "row", "text", "repository", F.filter(found, lambda k: k["m"].isNotNull()).alias("found")), "candidates")
+    each = judged(stored(credentials(spans(some)), "credentials"), max_owners, max_repositories)
+    places = each.where(F.col("live") & ((F.col("kind") < 3) | F.col("value").rlike(SHAPE))).groupBy("serial").agg(F.sort_array(F.collect_set(F.struct("at", "end"))).alias("places"))
+    part = lambda a, n: F.substring(F.col("text"), (a + 1).cast("int"), n.cast("int"))
+    begin = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).cast("long").alias("done"))
+    # a place that begins before the last one's end only lengthens it
+    step = lambda acc, p: F.struct(
+        F.when((p["at"] < acc["done"]) & (F.size(acc["parts"]) > 0), acc["parts"]).otherwise(F.concat(acc["parts"], F.array(part(acc["done"], p["at"] - acc["done"]), F.lit(mark)))).alias("parts"),
+        F.greatest(acc["done"], p["end"]).alias("done"),
+    )
+    fixed = F.aggregate("places", begin, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), part(acc["done"], F.length("text"))))
+    changed = some.join(places, "serial", "left").withColumn("any", F.col("places").isNotNull())
+    changed = changed.withColumn("text", F.when(F.col("any"), fixed).otherwise(F.col(f"row.`{text}`")))
+    return docs.where(~possible).unionByName(_unpacked(docs, changed, text))
 
 
 def scan_sql() -> str:
