@@ -1,18 +1,20 @@
 """Operator 9, a quality classifier: naive Bayes support vectors.
 
 Features are indicators of n-grams of words and of word shapes (one and two in a row, noting repeats), and of which
-words among four in a row repeat the one before.  Each is scaled by the log ratio of its smoothed counts in the two
-classes, rows are brought to unit length, and a linear hinge-loss model is fitted by dual coordinate descent; a
-logistic curve over its margins makes the score a probability.
+words among four in a row repeat the one before.  They are hashed into BUCKETS numbers, which bounds the model whatever
+the texts hold; none is dropped, however rare.  Each is scaled by the log ratio of its smoothed counts in the two classes, rows are
+brought to unit length, and a linear hinge-loss model is fitted by dual coordinate descent, whose cost keeps rare ones small.
 
-The fit uses a bounded sample: at most SAMPLE labelled rows, those with the least hashes of doc_id, whole texts.  The
-model holds the features that stand in at least LEAST of them, so its size is bounded too.  Scoring covers every whole
-text, in one pass without a shuffle.
+A logistic curve makes margins probabilities.  It is fitted to margins of rows that the model measured with has not
+seen: the training rows are parted into PARTS by a hash, and each part is measured by a model of the others.
+
+The fit uses a bounded sample: at most SAMPLE labelled rows, those with the least hashes of doc_id, whole texts.
+Scoring covers every whole text, in one pass without a shuffle.
 
 Defined results: null text counts as empty and has the constant feature alone.  Rows of labels with null doc_id or
-quality teach nothing; of repeated labels the least counts, of repeated documents one.  With no labels of both classes
-the score is the share of label 1 (0.5 with no labels).  Repeated rows are scored each; extra columns are harmless; an
-empty table gives an empty table."""
+quality teach nothing; of repeated labels the least counts, of repeated documents the one with the least hash of text.
+With no labels of both classes the score is the share of label 1 (0.5 with no labels).  Repeated rows are scored each;
+extra columns are harmless; an empty table gives an empty table."""
 
 from __future__ import annotations
 
@@ -27,8 +29,8 @@ from xxhash import xxh64_intdigest
 from .common import empty_if_null, prepare
 from .langid import fold
 
-#: Bounds of the fit: labelled rows, and rows a feature must stand in.
-SAMPLE, LEAST = 6000, 4
+#: Bound of the fit, in labelled rows; features, a power of two; and parts of the rows for the logistic curve.
+SAMPLE, BUCKETS, PARTS = 6000, 1 << 20, 3
 
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
 
@@ -44,15 +46,17 @@ def shape(word: str) -> str:
     """A word with runs of letters as w (U where all are capitals) and digits as 9; other characters stay, once a run."""
     for pattern, sign in _SHAPES:
         word = pattern.sub(sign, word)
-    return re.sub(r"(.)\1+", r"\1+", word)[:12]
+    return re.sub(r"(.)\1+", r"\1+", word)
 
 
 #: A feature for each way in which three words in a row may repeat the one before.
 RUNS = np.array([xxh64_intdigest(str(i), 3) for i in range(8)], np.uint64)
 
+_SHIFT = np.uint64(64 - BUCKETS.bit_length() + 1)
+
 
 class Features:
-    """Texts to sorted distinct feature hashes; one per task, with a memo of words."""
+    """Texts to sorted distinct numbers of features, below BUCKETS; one per task, with a memo of words."""
 
     def __init__(self):
         self.memo: dict[str, int] = {}
@@ -61,7 +65,7 @@ class Features:
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").split()
         if not words:
-            return np.zeros(0, np.uint64)
+            return np.zeros(0, np.int32)
         memo = self.memo
         if len(memo) > MEMO_ENTRIES:
             memo.clear()
@@ -75,70 +79,71 @@ class Features:
         repeat = (word[1:] == word[:-1]).astype(np.uint64)
         with np.errstate(over="ignore"):
             pairs = word[1:] * np.uint64(0x9E3779B97F4A7C15) + word[:-1]
-            forms = form[1:] * np.uint64(0xC2B2AE3D27D4EB4F) + form[:-1] + repeat
+            forms = form[1:] * np.uint64(0xC2B2AE3D27D4EB4F) + form[:-1] + repeat * np.uint64(0x9E3779B97F4A7C15)
         runs = np.unique(repeat[2:] * np.uint64(4) + repeat[1:-1] * np.uint64(2) + repeat[:-2]) if len(words) > 3 else repeat[:0]
-        return np.unique(np.concatenate([word, form, pairs, forms, RUNS[runs]]))
+        return np.unique((np.concatenate([word, form, pairs, forms, RUNS[runs]]) >> _SHIFT).astype(np.int32))
 
 
 class Model:
-    """Feature hashes in order with their weights, the constant's weight, and the logistic curve (slope, offset)."""
+    """The ratios and weights of all features, the constant's weight, and the logistic curve (slope, offset)."""
 
-    def __init__(self, keys: np.ndarray, weights: np.ndarray, constant: float, slope: float, offset: float):
-        self.keys, self.weights, self.constant, self.slope, self.offset = keys, weights, constant, slope, offset
-        self.ratios = np.ones(len(keys))
+    def __init__(self, ratios: np.ndarray, weights: np.ndarray, constant: float, slope: float = 1.0, offset: float = 0.0):
+        self.squares, self.scaled = (ratios**2).astype(np.float32), (ratios * weights).astype(np.float32)
+        self.constant, self.slope, self.offset = constant, slope, offset
 
     def margin(self, features: np.ndarray) -> float:
-        at = np.searchsorted(self.keys, features)
-        at = at[(at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] == features)] if len(self.keys) else at[:0]
-        size = np.sqrt(1.0 + float((self.ratios[at] ** 2).sum()))
-        return (self.constant + float(self.weights[at].sum())) / size
+        size = np.sqrt(1.0 + float(self.squares[features].sum(dtype=np.float64)))
+        return (self.constant + float(self.scaled[features].sum(dtype=np.float64))) / size
 
     def score(self, features: np.ndarray) -> float:
         return float(1.0 / (1.0 + np.exp(-np.clip(self.slope * self.margin(features) + self.offset, -700, 700))))
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray) -> Model:
-    """The model of rows of feature hashes and labels 0 or 1."""
-    none = np.zeros(0, np.uint64)
-    share = float(labels.mean()) if len(labels) else 0.5
-    if share in (0.0, 1.0) or not len(labels):
-        p = min(max(share, 1e-6), 1 - 1e-6)
-        return Model(none, np.zeros(0), 0.0, 0.0, float(np.log(p / (1 - p))))
-    keys, counts = np.unique(np.concatenate(rows), return_counts=True)
-    keys = keys[counts >= LEAST]
-    index = []
-    for r in rows:
-        at = np.searchsorted(keys, r)
-        inside = at < len(keys)
-        at, r = at[inside], r[inside]
-        index.append(at[keys[at] == r])
-    good, bad = np.full(len(keys), SMOOTHING), np.full(len(keys), SMOOTHING)
-    for at, y in zip(index, labels):
+def descend(rows: list[np.ndarray], labels: np.ndarray) -> Model:
+    """The linear model, its curve yet the identity."""
+    good, bad = np.full(BUCKETS, SMOOTHING), np.full(BUCKETS, SMOOTHING)
+    for at, y in zip(rows, labels):
         (good if y else bad)[at] += 1
     ratios = np.log(good / good.sum()) - np.log(bad / bad.sum())
-    values = [ratios[at] / np.sqrt(1.0 + (ratios[at] ** 2).sum()) for at in index]
-    ones = np.array([1.0 / np.sqrt(1.0 + (ratios[at] ** 2).sum()) for at in index])
+    sizes = np.sqrt([1.0 + (ratios[at] ** 2).sum() for at in rows])
     sign = np.where(labels > 0, 1.0, -1.0)
-    w, constant, alpha = np.zeros(len(keys)), 0.0, np.zeros(len(rows))
-    order = np.random.default_rng(0)
+    share = labels.mean()
     cost = COST * np.where(labels > 0, 1.0, max(1.0, share / (1 - share)) ** 0.5)
+    w, constant, alpha, order = np.zeros(BUCKETS), 0.0, np.zeros(len(rows)), np.random.default_rng(0)
     for _ in range(PASSES):
         moved = 0.0
         for i in order.permutation(len(rows)):
-            at, x = index[i], values[i]
-            gradient = sign[i] * (w[at] @ x + constant * ones[i]) - 1.0
+            at = rows[i]
+            x = ratios[at] / sizes[i]
+            gradient = sign[i] * (w[at] @ x + constant / sizes[i]) - 1.0
             new = min(max(alpha[i] - gradient, 0.0), cost[i])  # rows have unit length
             if step := (new - alpha[i]) * sign[i]:
                 w[at] += step * x
-                constant += step * ones[i]
+                constant += step / sizes[i]
                 alpha[i] = new
                 moved = max(moved, abs(step))
         if moved < 1e-3:
             break
-    margins = np.array([w[at] @ x for at, x in zip(index, values)]) + constant * ones
-    slope, offset = _logistic(margins, labels)
-    model = Model(keys, w * ratios, constant, slope, offset)
-    model.ratios = ratios
+    return Model(ratios, w, constant)
+
+
+def train(rows: list[np.ndarray], labels: np.ndarray, parts: np.ndarray) -> Model:
+    """The model of rows of features, labels 0 or 1, and the part of each row for the curve."""
+    share = float(labels.mean()) if len(labels) else 0.5
+    if share in (0.0, 1.0) or not len(labels):
+        p = min(max(share, 1e-6), 1 - 1e-6)
+        return Model(np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0, float(np.log(p / (1 - p))))
+    margins, measured = np.zeros(len(rows)), np.zeros(len(rows), bool)
+    for k in range(PARTS):
+        own = parts == k
+        if own.any() and len(set(labels[~own].tolist())) == 2:
+            others = descend([r for r, o in zip(rows, own) if not o], labels[~own])
+            margins[own] = [others.margin(r) for r, o in zip(rows, own) if o]
+            measured |= own
+    model = descend(rows, labels)
+    if len(set(labels[measured].tolist())) < 2:  # too few rows to hold any back
+        margins, measured = np.array([model.margin(r) for r in rows]), np.ones(len(rows), bool)
+    model.slope, model.offset = _logistic(margins[measured], labels[measured])
     return model
 
 
@@ -166,13 +171,16 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     def run(batches):
         features = Features()
         for b in batches:
-            found = [features(x).view(np.int64) for x in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int64()))], ["id", "label", "features"])
-
-    chosen = docs.select(docs[f"`{doc_id}`"].cast("long").alias("id"), empty_if_null(text).alias("text")).join(F.broadcast(known), "id").select("id", "label", "text")
-    table = chosen.mapInArrow(run, "id long, label int, features array<long>").dropDuplicates(["id"]).orderBy("id").toArrow()
-    rows = [np.asarray(x.values, np.int64).view(np.uint64) if x.values is not None else np.zeros(0, np.uint64) for x in table["features"]] if table.num_rows else []
-    return train(rows, np.array([1 if x else 0 for x in table["label"].to_pylist()], np.int64))
+            found = [features(x) for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int32()))], ["id", "label", "features"])
+
+    chosen = docs.select(docs[f"`{doc_id}`"].cast("long").alias("id"), empty_if_null(text).alias("text")).join(F.broadcast(known), "id")
+    # one text a document, before features are made
+    chosen = chosen.groupBy("id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text"))
+    part = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(PARTS)).alias("part")
+    table = chosen.mapInArrow(run, "id long, label int, features array<int>").select("id", "label", "features", part).orderBy("id").toArrow()
+    rows = [np.asarray(x.values, np.int32) if x.values is not None else np.zeros(0, np.int32) for x in table["features"]] if table.num_rows else []
+    return train(rows, np.array([1 if x else 0 for x in table["label"].to_pylist()], np.int64), np.array(table["part"].to_pylist(), np.int64))
 
 
 def _scorer(sent):
