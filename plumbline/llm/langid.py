@@ -3,14 +3,14 @@
 A word known from training adds its log frequency in each language.  An unseen word adds the mean log frequency of its
 known character n-grams of the greatest length that has any, from five characters down to one.
 
-The model is fitted on a bounded sample: at most about SAMPLE whole texts a language, chosen by a hash of doc_id, and
-keeps at most WORDS words and GRAMS n-grams of each length a language; these bounds make the model small enough to send
-to every worker.  Prediction covers every whole text, in one pass without a shuffle.
+The model is fitted on a bounded sample: of each language the SAMPLE whole texts with the least 64-bit hashes of doc_id
+and text.  All words and n-grams of the sample are kept, so the sample alone bounds the model, which is sent to every worker as
+sorted 64-bit hashes and a row of logs each.  Prediction covers every whole text, in one pass without a shuffle.
 
 Defined results: a text that is null or has no letter gives `und` and score 0, as do all texts where nothing could be
 learnt.  Ties go to the alphabetically first language.  Texts with null lang teach nothing; a null doc_id counts as the
-empty text in the hash.  Repeated rows are predicted each; extra columns are harmless; an empty table gives an empty
-table."""
+empty text in the fold's hash; rows that share doc_id, text and lang teach once.  Repeated rows are predicted each; extra
+columns are harmless; an empty table gives an empty table."""
 
 from __future__ import annotations
 
@@ -22,11 +22,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from .common import empty_if_null, prepare
 
-#: Bounds of the fit, a language: texts, words kept, n-grams of each length kept.  LONGEST is the longest n-gram.
-SAMPLE, WORDS, GRAMS, LONGEST = 1500, 20_000, 8_000, 5
+#: Bound of the fit, in texts a language, and the longest n-gram.
+SAMPLE, LONGEST = 1500, 5
 
 FOLDS, HELD_OUT = 3, 1
 
@@ -46,18 +47,37 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+def key(gram: str, n: int) -> int:
+    """The 64-bit hash of a word (n = 0) or n-gram, by which the model knows it."""
+    return xxh64_intdigest(gram, n)
+
+
+def sampled(rows: DataFrame, sample: int) -> DataFrame:
+    """Of rows (lang, h, text) those with the `sample` least h of each language.
+
+    A hash limit that all but surely leaves twice that many keeps what is ranked small at any size; a language of which
+    it left too few, which the counts tell, is ranked whole."""
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    limit = F.lit(None).cast("long")
+    for name, n in counts.items():
+        share = min(1.0, (2 * sample + 100) / n)
+        limit = F.when(F.col("lang") == name, F.lit(min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63)))).otherwise(limit)
+    # equal rows are one before anything is ranked
+    near = rows.where(F.col("h") <= limit).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    left = {r["lang"]: r["n"] for r in near.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    short = [name for name, n in counts.items() if left.get(name, 0) < min(sample, n) and n > 2 * sample + 100]
+    if short:
+        whole = rows.where(F.col("lang").isin(short)).groupBy("lang", "h").agg(F.min("text").alias("text"))
+        near = near.where(~F.col("lang").isin(short)).unionByName(whole)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= sample).select("lang", "text")
+
+
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
     """The model learnt from the rows of the training folds."""
     prepare(docs.sparkSession)
     rows = docs.where(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull() & (fold(doc_id, FOLDS) != HELD_OUT))
-    rows = rows.select(docs[f"`{lang}`"].cast("string").alias("lang"), F.xxhash64(docs[f"`{doc_id}`"]).alias("h"), docs[f"`{text}`"].alias("text"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return Model([], {}, [])
-    share = F.lit(0.0)
-    for name, n in counts.items():
-        share = F.when(F.col("lang") == name, F.lit(min(1.0, sample / n))).otherwise(share)
-    chosen = rows.where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text")
+    rows = rows.select(docs[f"`{lang}`"].cast("string").alias("lang"), F.xxhash64(docs[f"`{doc_id}`"], docs[f"`{text}`"]).alias("h"), docs[f"`{text}`"].cast("string").alias("text"))
 
     def count(batches):
         words: dict[str, Counter] = defaultdict(Counter)
@@ -65,43 +85,44 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
             for name, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 words[name].update(LETTERS.findall(x.lower()))
         for name, found in words.items():
-            total: dict[tuple[int, str], int] = Counter({(0, w): k for w, k in found.items()})
+            total: dict[tuple[int, int], int] = Counter()
             for w, k in found.items():
+                total[0, key(w, 0)] += k
                 for n in range(1, LONGEST + 1):
                     for g in grams(w, n):
-                        total[n, g] += k
+                        total[n, key(g, n)] += k
             items = list(total.items())
             for i in range(0, len(items), 50_000):
                 part = items[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array([x[0][0] for x in part], pa.int32()), pa.array([x[0][1] for x in part]), pa.array([x[1] for x in part], pa.int64())], ["lang", "n", "gram", "k"])
+                hashes = np.array([x[0][1] for x in part], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array([x[0][0] for x in part], pa.int32()), pa.array(hashes), pa.array([x[1] for x in part], pa.int64())], ["lang", "n", "gram", "k"])
 
-    summed = chosen.mapInArrow(count, "lang string, n int, gram string, k long").groupBy("lang", "n", "gram").agg(F.sum("k").alias("k"))
-    rank = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("k"), "gram"))
-    total = F.sum("k").over(Window.partitionBy("lang", "n"))
-    kept = summed.withColumn("rank", rank).withColumn("total", total).where(F.col("rank") <= F.when(F.col("n") == 0, WORDS).otherwise(GRAMS))
-    return Model.of(kept.select("lang", "n", "gram", "k", "total").toArrow())
+    summed = sampled(rows, sample).mapInArrow(count, "lang string, n int, gram long, k long").groupBy("lang", "n", "gram").agg(F.sum("k").alias("k"))
+    return Model.of(summed.select("lang", "n", "gram", "k").toArrow())
 
 
 class Model:
-    """Log frequencies: `places` maps (length or 0, text) to a row of `logs`, with a column for each language."""
+    """Log frequencies: `keys` are sorted hashes of words and n-grams, `logs` has a row for each, a column a language."""
 
-    def __init__(self, languages: list[str], places: dict[tuple[int, str], int], logs):
-        self.languages, self.places, self.logs = languages, places, logs
+    def __init__(self, languages: list[str], keys: np.ndarray, logs: np.ndarray):
+        self.languages, self.keys, self.logs = languages, keys, logs
 
     @classmethod
     def of(cls, table: pa.Table) -> Model:
-        names = table["lang"].to_pylist()
-        languages = sorted(set(names))
-        column = {x: i for i, x in enumerate(languages)}
-        places: dict[tuple[int, str], int] = {}
-        for key in zip(table["n"].to_pylist(), table["gram"].to_pylist()):
-            places.setdefault(key, len(places))
-        counts, totals = np.zeros((len(places), len(languages))), np.ones((LONGEST + 1, len(languages)))
-        for name, n, gram, k, total in zip(names, table["n"].to_pylist(), table["gram"].to_pylist(), table["k"].to_pylist(), table["total"].to_pylist()):
-            counts[places[n, gram], column[name]] = k
-            totals[n, column[name]] = total
-        length = np.array([n for n, _ in places], np.int64)
-        return cls(languages, places, np.log((counts + 0.5) / (totals[length] + 1.0)).astype(np.float32))
+        languages, column = np.unique(np.array(table["lang"].to_pylist(), object).astype(str), return_inverse=True)
+        n, k = table["n"].to_numpy(), table["k"].to_numpy()
+        keys, place = np.unique(table["gram"].to_numpy().view(np.uint64), return_inverse=True)
+        counts, totals, length = np.zeros((len(keys), len(languages))), np.zeros((LONGEST + 1, len(languages))), np.zeros(len(keys), np.int64)
+        np.add.at(counts, (place, column), k)
+        np.add.at(totals, (n, column), k)
+        length[place] = n
+        return cls(languages.tolist(), keys, np.log((counts + 0.5) / (totals[length] + 1.0)).astype(np.float32))
+
+    def find(self, hashes: list[int]) -> np.ndarray:
+        """The rows of those hashes that are known."""
+        wanted = np.array(hashes, np.uint64)
+        at = np.minimum(np.searchsorted(self.keys, wanted), max(0, len(self.keys) - 1))
+        return at[self.keys[at] == wanted] if len(self.keys) else at[:0]
 
 
 class Predictor:
@@ -113,12 +134,11 @@ class Predictor:
         self.rows = np.zeros((1 << 12, max(1, len(model.languages))), np.float32)
 
     def _word(self, word: str) -> np.ndarray:
-        places, logs = self.model.places, self.model.logs
-        if (at := places.get((0, word))) is not None:
-            return logs[at]
+        if len(at := self.model.find([key(word, 0)])):
+            return self.model.logs[at[0]]
         for n in range(LONGEST, 0, -1):
-            if known := [at for g in grams(word, n) if (at := places.get((n, g))) is not None]:
-                return logs[known].mean(axis=0)
+            if len(known := self.model.find([key(g, n) for g in grams(word, n)])):
+                return self.model.logs[known].mean(axis=0)
         return np.zeros(len(self.model.languages), np.float32)
 
     def __call__(self, text: str | None) -> tuple[str, float]:
