@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import empty_if_null, in_buckets, stored
+from .common import empty_if_null, in_buckets, stored, tie
 
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -66,11 +66,11 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ha
     """docs without all but one of the rows of equal text, with all its columns.
 
     Rows whose hash occurs once pass without a shuffle; the others are grouped by hash and bytes, and the least row
-    (by doc_id) of each group comes out whole."""
+    (by doc_id) of each group comes out whole.  Of rows with one doc_id the least hash of text, then of all columns, stays."""
     row = F.struct("*")
     norm = normalised(empty_if_null(text))
     tagged = docs.select(row.alias("row"), docs[f"`{doc_id}`"].cast("long").alias("doc_id"), norm.alias("norm")).withColumn("h", hash_of(F.col("norm")))
     repeated = stored(_repeated(tagged.select("h")), "repeated")
     maybe, once = in_buckets(tagged, F.col("h"), repeated)
-    least = maybe.groupBy("h", "norm").agg(F.min_by("row", F.struct(*_order(), F.xxhash64(F.col(f"row.`{text}`")).alias("tie"))).alias("row"))
+    least = maybe.groupBy("h", "norm").agg(F.min_by("row", F.struct(*_order(), F.xxhash64(F.col(f"row.`{text}`")).alias("text"), tie(docs, "row.").alias("tie"))).alias("row"))
     return once.select("row.*").unionByName(least.select("row.*"))
