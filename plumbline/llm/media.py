@@ -226,7 +226,9 @@ def media_columns(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     maybe, once = in_buckets(payloads(docs, text), F.col("digest"), repeated)
     index = write_shards(encoded(maybe), folder).unionByName(write_shards(encoded(once), folder, deal=False))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    read = stored(with_features(with_metadata(index.repartition(parts, "shard").sortWithinPartitions("shard", "offset"), folder), folder), "media-features")
+    # ranges of places, not whole shards: shards differ in size
+    placed = index.repartitionByRange(parts, "shard", "offset").sortWithinPartitions("shard", "offset")
+    read = stored(with_features(with_metadata(placed, folder), folder), "media-features")
     hexadecimal = lambda c: F.lower(F.hex(c)).alias(c)
     return rows.join(read, "digest").select(
         "doc_id", "n_bytes", "payload_bytes", hexadecimal("payload_sha256"), "tail_crc32", "media_bytes", hexadecimal("media_sha256"), "feature",
