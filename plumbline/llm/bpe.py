@@ -181,7 +181,7 @@ def codec(path: str | None) -> ByteCodec:
 
 
 def encode(docs: DataFrame, text: str = "text", out: str = "ids", path: str | None = None) -> DataFrame:
-    """docs with a column of ids, array<int>.  Extra columns stay; one named `out` gives way."""
+    """docs with a column of ids, array<int>.  Extra columns stay; one named `out` gives way, be it the text."""
     return _mapped(docs, text, out, T.ArrayType(T.IntegerType()), lambda c, x: c.encode(x), path)
 
 
@@ -193,15 +193,16 @@ def decode(docs: DataFrame, ids: str = "ids", out: str = "decoded", path: str |
 def _mapped(docs: DataFrame, source: str, out: str, kind: T.DataType, f, path: str | None) -> DataFrame:
     prepare(docs.sparkSession)
     docs = docs.drop(out) if out != source else docs
+    kept = [x.name for x in docs.schema.fields if x.name != out]
     to = pa.list_(pa.int32()) if isinstance(kind, T.ArrayType) else pa.string()
 
     def run(batches):
         c = codec(path)
         for b in batches:
             values = [f(c, x) for x in b.column(b.schema.get_field_index(source)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(values, to)], [*b.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(x)) for x in kept), pa.array(values, to)], [*kept, out])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, kind)]))
+    return docs.mapInArrow(run, T.StructType([*(docs.schema[x] for x in kept), T.StructField(out, kind)]))
 
 
 def round_trip_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from .common import stored
 
 
+#: Parts into which the rows of one node are dealt; beyond them adaptive execution splits what is large.
+SALT = 8
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Links each node's neighbours to the least of them and itself: in the large star those above the node, in the
     small star those below."""
@@ -19,7 +23,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    joined = both.join(least, "u")
+    # a component's root has as many rows as the component has members: they are dealt to SALT tasks
+    salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    joined = both.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALT)).cast("int")).join(salted, ["u", "salt"])
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
