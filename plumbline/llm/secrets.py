@@ -10,7 +10,8 @@ matches.  Counts are partial before each shuffle, so a value that a third of all
 
 Defined results: null text counts as empty.  Positions are code points, ends exclusive.  Rows without matches have
 zero counts and empty spans.  A null repository counts as one repository (and owner) of its own.  Repeated rows are
-scanned each; null doc_id and extra columns are harmless; an empty table gives an empty table."""
+scanned each; null doc_id and extra columns are harmless; a table without the column of repositories counts as one
+repository; an empty table gives an empty table."""
 
 from __future__ import annotations
 
@@ -59,6 +60,11 @@ def owner_of(repository: Column) -> Column:
     return F.substring_index(repository, "/", 1)
 
 
+def _repository(docs: DataFrame, repository: str) -> Column:
+    """The column of repositories; without one all rows are of one repository."""
+    return empty_if_null(repository) if repository in docs.columns else F.lit("")
+
+
 def _matches(text: Column, pattern: str) -> Column:
     """The code points between matches (one more than matches) and the matches; null where there is none."""
     found = F.struct(
@@ -68,10 +74,11 @@ def _matches(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), found)
 
 
-def scanned(docs: DataFrame, doc_id: str, text: str, repository: str, kinds: list[str]) -> DataFrame:
+def scanned(docs: DataFrame, doc_id: str | None, text: str, repository: str, kinds: list[str]) -> DataFrame:
     """The matches of each row, stored; `serial` tells rows apart from then on."""
     x = F.col("text")
-    rows = docs.select(docs[f"`{doc_id}`"].cast("long").alias("doc_id"), empty_if_null(text).alias("text"), empty_if_null(repository).alias("repository"))
+    own = docs[f"`{doc_id}`"].cast("long") if doc_id else F.lit(None).cast("long")
+    rows = docs.select(own.alias("doc_id"), empty_if_null(text).alias("text"), _repository(docs, repository).alias("repository"))
     found = F.array(*[F.struct(F.lit(list(KINDS).index(k)).alias("kind"), _matches(x, KINDS[k]).alias("m")) for k in kinds])
     return stored(rows.select(F.monotonically_increasing_id().alias("serial"), "doc_id", "repository", F.filter(found, lambda k: k["m"].isNotNull()).alias("found")), "matches")
 
@@ -147,11 +154,14 @@ def credentials(found: DataFrame) -> DataFrame:
     return bare.unionByName(rest)
 
 
-def judged(each: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
-    """`credentials` with `live`, from one ownership count over all kinds; a place found by several kinds counts once."""
-    once = each.select("serial", "repository", "at", "end", F.col("value").alias("hit")).distinct()
+def judged(each: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES, corpus: DataFrame | None = None) -> DataFrame:
+    """`credentials` with `live`, from one ownership count over all kinds; a place found by several kinds counts once.
+
+    `corpus` are the credentials to count, if not these; one that it does not hold has one owner and is live."""
+    once = (each if corpus is None else corpus).select("serial", "repository", "at", "end", F.col("value").alias("hit")).distinct()
     verdicts = live_hashes(once, max_owners, max_repositories).select("hash", "live")
-    return each.withColumn("hash", F.md5("value")).join(verdicts, "hash").drop("hash")
+    found = each.withColumn("hash", F.md5("value")).join(verdicts, "hash", "left").drop("hash")
+    return found.withColumn("live", F.coalesce("live", F.lit(True)))
 
 
 def verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repository: str = "source", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
@@ -172,26 +182,6 @@ def verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", reposi
     return some.unionByName(rest).drop("serial")
 
 
-def redacted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repository: str = "source", mark: str = "[REDACTED]", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
-    """docs with live-looking values replaced by `mark`; copied examples and all else stay.
-
-    Rows without a value pass untouched; the others, few, are stored with their matches and joined to the verdicts.
-    A column n_chars of integers is kept up to date."""
-    x = empty_if_null(text)
-    row = F.struct("*")
-    some = docs.select(row.alias("row"), x.alias("text"), empty_if_null(repository).alias("repository")).where(F.col("text").rlike(VALUE))
-    some = stored(some.select(F.monotonically_increasing_id().alias("serial"), "row", "repository", F.split("text", VALUE, -1).alias("parts"), F.regexp_extract_all("text", F.lit(VALUE), F.lit(0)).alias("hits")), "values")
-    each = some.select("serial", "repository", F.posexplode("hits").alias("i", "hit"))
-    values = each.withColumn("hash", F.md5("hit"))
-    verdicts = live_hashes(each, max_owners, max_repositories).where("live").select("hash")
-    judged = values.join(verdicts.withColumn("live", F.lit(True)), "hash", "left")
-    per_row = judged.groupBy("serial").agg(F.sort_array(F.collect_list(F.struct("i", F.coalesce("live", F.lit(False)).alias("live")))).alias("live"), F.max("live").alias("any"))
-    marks = F.zip_with("hits", "live", lambda h, d: F.when(d["live"], F.lit(mark)).otherwise(h))
-    fixed = F.array_join(F.zip_with("parts", F.concat(marks, F.array(F.lit(""))), lambda p, m: F.concat(p, m)), "")
-    changed = some.join(per_row, "serial").withColumn("text", F.when(F.col("any"), fixed).otherwise(F.col(f"row.`{text}`")))
-    return docs.where(~x.rlike(VALUE)).unionByName(_unpacked(docs, changed, text))
-
-
 def _unpacked(docs: DataFrame, changed: DataFrame, text: str) -> DataFrame:
     """The columns of docs from `row`, with the new `text` and, where `any` is true, its length in n_chars."""
     columns = []
@@ -205,17 +195,21 @@ def _unpacked(docs: DataFrame, changed: DataFrame, text: str) -> DataFrame:
     return changed.select(*columns)
 
 
-def cleaned(docs: DataFrame, text: str = "text", repository: str = "source", mark: str = "[REDACTED]", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
+def cleaned(docs: DataFrame, text: str = "text", repository: str = "source", mark: str = "[REDACTED]", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES, corpus: DataFrame | None = None) -> DataFrame:
     """docs with the live credentials of all kinds replaced by `mark`, overlapping ones by one; all else stays.
 
+    Owners are counted over `corpus`, the table that docs were taken from, with the same columns: what filters and
+    deduplication took away still tells a published example from a credential.  Without it they are counted over docs.
+
     Names around a credential stay.  A bare run goes only if it has the shape of one (SHAPE); paths and slugs have not.
     Rows without a candidate pass untouched; the others are stored with their matches and joined to the verdicts."""
     x = empty_if_null(text)
     possible = x.rlike("|".join(f"(?:{p})" for p in KINDS.values()))
     found = F.array(*[F.struct(F.lit(i).alias("kind"), _matches(F.col("text"), p).alias("m")) for i, p in enumerate(KINDS.values())])
-    some = docs.where(possible).select(F.struct("*").alias("row"), x.alias("text"), empty_if_null(repository).alias("repository"))
+    some = docs.where(possible).select(F.struct("*").alias("row"), x.alias("text"), _repository(docs, repository).alias("repository"))
     some = stored(some.select(F.monotonically_increasing_id().alias("serial"), F.lit(None).cast("long").alias("doc_id"), "row", "text", "repository", F.filter(found, lambda k: k["m"].isNotNull()).alias("found")), "candidates")
-    each = judged(stored(credentials(spans(some)), "credentials"), max_owners, max_repositories)
+    every = None if corpus is None else stored(credentials(spans(scanned(corpus, None, text, repository, list(KINDS)))), "corpus-credentials")
+    each = judged(stored(credentials(spans(some)), "credentials"), max_owners, max_repositories, every)
     places = each.where(F.col("live") & ((F.col("kind") < 3) | F.col("value").rlike(SHAPE))).groupBy("serial").agg(F.sort_array(F.collect_set(F.struct("at", "end"))).alias("places"))
     part = lambda a, n: F.substring(F.col("text"), (a + 1).cast("int"), n.cast("int"))
     begin = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).cast("long").alias("done"))

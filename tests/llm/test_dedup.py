@@ -102,9 +102,92 @@ def test_simhash_components(make):
     of = _components(prints)
     want = [(texts[i][0], f"{prints[i]:016x}", min((texts[j][0] for j in of[i] if texts[j][0] is not None), default=None)) for i in range(len(texts))]
     assert sorted(map(repr, map(tuple, rows))) == sorted(map(repr, want))
+
+
+def _pairs(t, shingle=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    shingles = [" ".join(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))] if w else []
+    out = []
+    for seed in (42, 43):
+        h = [xxhash.xxh64_intdigest(x.encode(), seed) for x in shingles]
+        out.append(sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h)))
+    return out
+
+
+def test_representatives(make):
+    """One row of each component by both fingerprints, found by comparing all pairs."""
+    texts = _corpus()
+    prints = [_pairs(t) for _, t in texts]
+    left, groups = set(range(len(texts))), []
+    while left:
+        todo, seen = [left.pop()], set()
+        while todo:
+            i = todo.pop()
+            seen.add(i)
+            near = {j for j in left if (prints[i][0] ^ prints[j][0]).bit_count() <= 8 and (prints[i][1] ^ prints[j][1]).bit_count() <= 14}
+            left -= near
+            todo += near
+        groups.append(seen)
     kept = simhash.representatives(make(texts))
     assert kept.columns == make(texts).columns
-    assert sorted(repr(r.doc_id) for r in kept.collect()) == sorted(repr(min((texts[j][0] for j in c if texts[j][0] is not None), default=None)) for c in set(of.values()))
+    assert sorted(repr(r.doc_id) for r in kept.collect()) == sorted(repr(min((texts[j][0] for j in c if texts[j][0] is not None), default=None)) for c in groups)
+    assert any(len({texts[j][1] for j in c}) > 1 for c in groups)
+
+
+def test_rows_alike_but_for_other_columns_leave_the_same_one(make):
+    docs = make([(1, "some words that are here")] * 6, source=[f"s{i}" for i in range(6)])
+    for f in (simhash.representatives, exact.deduplicated):
+        assert len({f(docs.repartition(n)).collect()[0].source for n in (1, 3, 6)}) == 1
+
+
+@pytest.mark.parametrize("chunk", [1 << 15, 40])
+def test_wide_links_in_chunks(spark, chunk):
+    """All links of the radius, be buckets whole or in pairs of chunks."""
+    rng = np.random.default_rng(4)
+    prints = [(0, 0)]
+    while len(prints) < 500:
+        a, b = prints[rng.integers(len(prints))] if rng.random() < 0.7 else (int(rng.integers(0, 1 << 63)), int(rng.integers(0, 1 << 63)))
+        for _ in range(rng.integers(1, 12)):
+            a ^= 1 << int(rng.integers(0, 63))
+            b ^= 1 << int(rng.integers(0, 63))
+        prints.append((a, b))
+    prints = sorted(set(prints))
+    node = lambda p: p[0].to_bytes(8, "big") + p[1].to_bytes(8, "big")
+    got = components.components(simhash.wide_links(spark.createDataFrame(prints, "a long, b long"), chunk=chunk)).collect()
+    left, want = set(prints), {}
+    while left:
+        todo, seen = [left.pop()], []
+        while todo:
+            p = todo.pop()
+            seen.append(p)
+            near = {q for q in left if (p[0] ^ q[0]).bit_count() <= 8 and (p[1] ^ q[1]).bit_count() <= 14}
+            left -= near
+            todo += near
+        if len(seen) > 1:
+            want |= {node(p): min(map(node, seen)) for p in seen}
+    assert {bytes(r.node): bytes(r.root) for r in got} == want and len(set(want.values())) > 1
+    assert sum(n for _, n in simhash.parts_of(8)) == 64 and len(simhash.parts_of(8)) == 10
+
+
+@pytest.mark.parametrize(("most", "passes"), [(2, 4), (1 << 5, 4), (1 << 8, 2), (1 << 20, 1)])
+def test_full_bitmaps_lose_nothing(spark, most, passes):
+    """Keys for many bitmaps: the split stays sound when it goes in passes, and when even those are full."""
+    keys = common.stored(spark.range(0, 32).select((F.col("id") * 7).alias("k")), "keys")
+    rows = spark.range(0, 4000).select("id", F.lit("x").alias("_bucket2"))
+    maybe, sure = common.in_buckets(rows, F.col("id"), keys, most=most)
+    a, b = [sorted(r.id for r in x.collect()) for x in (maybe, sure)]
+    assert sorted(a + b) == list(range(4000)) and {7 * i for i in range(32)} <= set(a)
+    assert (len(b) > 2000) == (most > 2)
+
+
+def test_scratch_is_removed(spark):
+    with common.scratch(spark):
+        kept = common.stored(spark.range(5), "gone")
+        path = kept.inputFiles()[0]
+        assert kept.count() == 5
+    import os
+
+    assert not os.path.exists(path.removeprefix("file://"))
 
 
 def test_simhash_empty(none):
@@ -167,11 +250,10 @@ def test_components_of_paths_and_stars(spark):
 
 
 @pytest.mark.parametrize("full", [False, True])
-def test_prefilter_misses_no_key(spark, monkeypatch, full):
-    if full:  # few buckets, all taken
-        monkeypatch.setattr(common, "PREFILTER_BUCKETS", 64)
+def test_prefilter_misses_no_key(spark, full):
+    most = 64 if full else common.MOST_BUCKETS  # few buckets, all taken
     df = spark.range(20000).select(F.when(F.col("id") > 0, F.col("id")).alias("key"), F.lit("x").alias("_page"))
-    maybe, surely_not = common.in_buckets(df, F.col("key"), spark.range(0, 20000, 7).select(F.col("id").alias("k")))
+    maybe, surely_not = common.in_buckets(df, F.col("key"), spark.range(0, 20000, 7).select(F.col("id").alias("k")), most=most)
     assert maybe.columns == surely_not.columns == ["key", "_page"]
     found, rest = {r.key for r in maybe.collect()}, {r.key for r in surely_not.collect()}
     assert not found & rest and len(found) + len(rest) == 20000

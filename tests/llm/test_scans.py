@@ -7,7 +7,7 @@ import textwrap
 import duckdb
 import pytest
 
-from plumbline.llm import licences, secrets
+from plumbline.llm import common, licences, secrets
 
 from .conftest import EDGES
 
@@ -73,20 +73,6 @@ def test_secrets_on_table(spark, sf):
     assert sorted(repr((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans)) for r in secrets.scan(docs).collect()) == want
 
 
-def test_redaction(make):
-    rows = _rows()
-    docs = make([(d, t) for d, t, _ in rows], source=[s for _, _, s in rows])
-    live = _brute(rows)[1]
-    got = secrets.redacted(docs)
-    assert got.schema == docs.schema
-    want = []
-    for d, t, _ in rows:
-        new = t if t is None else RUN.sub(lambda m: "[REDACTED]" if m[0] in live else m[0], t)
-        want.append((d, new, (len(t) if t else None) if new == t else len(new)))
-    assert sorted(repr((r.doc_id, r.text, r.n_chars)) for r in got.collect()) == sorted(map(repr, want))
-    assert secrets.redacted(docs.limit(0)).count() == 0
-
-
 def _sentences(t):
     """Lists of words, cut where a sentence ends; written out character by character."""
     t = (t or "").lower().replace("spdx-license-identifier:", "spdx license identifier ")
@@ -252,7 +238,12 @@ def test_each_known_sentence_has_a_trigger():
     assert {x for _, need in licences.RULES for x in need} == set(licences.SENTENCES.values())
 
 
-@pytest.mark.parametrize("f", [secrets.scan, secrets.redacted, licences.scan])
-def test_plans_hold_no_python(spark, sf, f):
-    plan = f(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+@pytest.mark.parametrize("f", [secrets.scan, secrets.verdicts, secrets.cleaned, licences.scan])
+def test_plans_hold_no_python(spark, sf, f, monkeypatch):
+    """Neither the last plan nor those of the tables stored on the way."""
+    plans = []
+    plan_of = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(secrets, "stored", lambda df, kind: plans.append(plan_of(df)) or common.stored(df, kind))
+    plans.append(plan_of(f(spark.read.parquet(f"{sf}/documents.parquet"))))
+    assert len(plans) > (f is not licences.scan)
+    assert not re.search("Python|Pandas|Arrow", "".join(plans))

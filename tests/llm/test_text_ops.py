@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from plumbline.llm import bpe, common, media, packing
 
@@ -149,3 +150,11 @@ def test_damaged_media_is_refused():
     data[50] ^= 1
     with pytest.raises(ValueError):
         media.from_media(bytes(data))
+
+
+def test_encode_in_place(make):
+    docs = make(["some words", None, ""]).withColumn("text", F.coalesce("text", F.lit("")))
+    ids = bpe.encode(docs, "text", "text")
+    assert sorted(ids.columns) == sorted(docs.columns)
+    back = bpe.decode(ids, "text", "text")
+    assert sorted(r.text for r in back.select("text").collect()) == ["", "", "some words"]

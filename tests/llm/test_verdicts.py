@@ -1,6 +1,5 @@
 """The verdicts of operator 4 over candidates of all kinds."""
 
-import corpus_pipeline
 from plumbline.llm import secrets
 
 from .conftest import EDGES
@@ -46,7 +45,7 @@ def test_base64_with_slashes_is_one_value(make):
     assert all(got[i][1:] == (0, 1) for i in range(3)) and got[3][1] == 1
 
 
-def test_the_pipeline_blanks_all_kinds_and_no_paths(spark, make):
+def test_all_kinds_are_blanked_and_no_paths(make):
     gone = {
         'a password = "hunter2hunter" b': 'a password = "[REDACTED]" b',
         'é password="correcthorsebatterystaple".': 'é password="[REDACTED]".',
@@ -59,8 +58,25 @@ def test_the_pipeline_blanks_all_kinds_and_no_paths(spark, make):
     stay = ["/usr/lib/python3/dist-packages/foo", "com/blog/2021/05/some-article-title", "COVID-19-related-restrictions", *['token = "EXAMPLE1example2EXAMPLE3"'] * 4]
     rows = [*EDGES, *((100 + i, t) for i, t in enumerate([*gone, *stay]))]
     docs = make(rows, source=[f"o{i}" for i in range(len(rows))])
-    got = corpus_pipeline.secret_scan(spark, docs, "")
+    got = secrets.cleaned(docs)
     assert got.schema == docs.schema
     want = [(d, n := gone.get(t, t), (len(n) if n else None)) for d, t in rows]
     assert sorted(repr((r.doc_id, r.text, r.n_chars)) for r in got.collect()) == sorted(map(repr, want))
-    assert corpus_pipeline.secret_scan(spark, docs.limit(0), "").count() == 0
+    assert secrets.cleaned(docs.limit(0)).count() == 0
+
+
+def test_owners_are_counted_over_the_corpus(make):
+    """A copy that a filter took away still tells an example from a credential."""
+    text = 'token = "Zx9Zx9Zx9Zx9Zx9Zx9"'
+    corpus = make([text] * 4 + ["only Yx9Yx9Yx9Yx9Yx9Yx9"], source=["a/x", "b/x", "c/x", "d/x", "e/x"])
+    docs = corpus.where("doc_id IN (0, 4)")
+    assert {r.text for r in secrets.cleaned(docs).collect()} == {'token = "[REDACTED]"', "only [REDACTED]"}
+    assert {r.text for r in secrets.cleaned(docs, corpus=corpus).collect()} == {text, "only [REDACTED]"}
+    # not in the corpus: one owner
+    assert {r.text for r in secrets.cleaned(docs, corpus=corpus.where("doc_id < 4")).collect()} == {text, "only [REDACTED]"}
+
+
+def test_no_column_of_repositories(make):
+    docs = make([f"k Zx9Zx9Zx9Zx9Zx9Zx{i % 2}" for i in range(9)]).drop("source")
+    assert {r.text for r in secrets.cleaned(docs).collect()} == {"k [REDACTED]"}
+    assert {r.n_live for r in secrets.scan(docs).collect()} == {1}
