@@ -1,11 +1,16 @@
 """Predicates: a row filter, and a three-valued verdict over a block's summary.
 
-A summary has `lo_<c>`, `hi_<c>` for numbers and `set_<c>` for categories (null: any value)."""
+A summary has `lo_<c>`, `hi_<c>` for numbers and `set_<c>` for categories (null: any value).
+
+A facet's key is text that is equal wherever Spark compares the values as equal: numbers of all types by their double
+(two that share one are summed up together, which only loosens a bound), text and truth values as they are.  Columns of other types have
+no facets, and a key of one kind says nothing about a column of another."""
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column
@@ -54,7 +59,8 @@ class InSet:
     values: frozenset
 
     def mask(self) -> Column:
-        return F.col(self.column).isin(sorted(self.values)) if self.values else F.lit(False)
+        # -0.0 is asked for as the 0.0 that it equals: Parquet's filters tell the two apart
+        return F.col(self.column).isin(sorted(v + 0.0 if isinstance(v, float) else v for v in self.values)) if self.values else F.lit(False)
 
     def verdict(self, known: set[str]) -> Column:
         if not self.values:
@@ -70,6 +76,25 @@ class InSet:
         return (self.column, next(iter(self.values))) if len(self.values) == 1 else None
 
 
+NUMBERS = frozenset("byte short integer long float double decimal".split())
+
+
+def facet_kind(type_name: str) -> str | None:
+    """The kind of keys of a column of a type; None if it has none."""
+    return "number" if type_name in NUMBERS else {"string": "text", "boolean": "truth"}.get(type_name)
+
+
+def facet_key(value: Column, kind: str) -> Column:
+    # adding 0 makes -0.0 the 0.0 that it equals
+    return (value.cast("double") + F.lit(0.0) if kind == "number" else value).cast("string")
+
+
+def fixed_facet(value) -> tuple[str, Column] | None:
+    """The kind and key of a predicate's value."""
+    kind = "truth" if isinstance(value, bool) else "number" if isinstance(value, (int, float, Decimal)) else "text" if isinstance(value, str) else None
+    return (kind, facet_key(F.lit(value), kind)) if kind else None
+
+
 def conjunction(predicates) -> Column:
     return reduce(lambda a, b: a & b, [p.mask() for p in predicates], F.lit(True))
 

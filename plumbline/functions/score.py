@@ -53,3 +53,8 @@ def fused(spec: ScoreSpec, vec: str = "vec", terms: str = "terms", ts: str = "ts
     if spec.gamma:
         total = total + F.lit(spec.gamma) * recency(F.col(ts), spec.now, spec.half_life)
     return total
+
+
+def ratio(kth: Column, remaining: Column) -> Column:
+    """A certificate's ratio: how far a row outside the answer could beat the k-th."""
+    return F.when(kth > 0, F.greatest(F.lit(1.0), remaining / kth)).when(remaining > 0, F.lit(float("inf"))).otherwise(F.lit(1.0))

@@ -9,74 +9,93 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.score import inner_product, vector
+from ..functions.score import fused
 from ..model import ScoreSpec
 from ..shipping import ship
 from .search import top_k
 
+#: Vectors of the sample that codes are made of, vectors that ask, and the quantile of their errors.
+CODED, ASKING, SURE = 3000, 300, 0.999
+
+
+def rotation(d: int, seed: int) -> np.ndarray:
+    """A random rotation of d dimensions, the same for the same seed."""
+    return np.linalg.qr(np.random.default_rng((seed, d)).standard_normal((d, d)))[0]
+
+
+def signs(vecs: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of unit vectors after the turn, and the scale at which a vector's code gives 1 against itself (0 for a zero vector)."""
+    turned = vecs @ turn
+    reach = np.abs(turned).sum(axis=1)
+    return turned >= 0, np.divide(1.0, reach, out=np.zeros_like(reach), where=reach > 1e-9)
+
+
+def estimate(bits: np.ndarray, scale: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Inner products with turned queries (a row each): the sum over set bits less that over the others, scaled."""
+    return ((bits @ (2.0 * asked.T)) - asked.sum(axis=1)) * scale[:, None]
+
 
 @dataclass(frozen=True)
 class Quantizer:
-    rotation: np.ndarray
+    """A rotation, given by its size and seed, and the error that estimates stay within but for a share of 1 - SURE."""
+
+    d: int
     eps: float
+    seed: int = 0
 
     @staticmethod
-    def fit(units: DataFrame, seed: int = 0, sample: int = 2048, quantile: float = 0.999) -> Quantizer:
-        """From at most `sample` vectors, those with the least hashes of row_id."""
-        rows = units.select("vec", F.xxhash64("row_id", F.lit(seed)).alias("h"), "row_id").orderBy("h", "row_id").limit(sample).toPandas()
-        vecs = np.stack(rows["vec"].to_numpy()).astype(np.float64)
-        rotation, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(vecs.shape[1],) * 2))
-        codes, scale = encode(vecs, rotation)
-        queries = vecs[: min(256, len(vecs))]
-        error = np.abs((queries @ rotation) @ codes.T * scale - queries @ vecs.T)
-        return Quantizer(rotation, float(np.quantile(error, quantile)))
+    def fit(units: DataFrame, seed: int = 0, quantile: float = SURE) -> Quantizer:
+        """From a bounded sample, the vectors with the least hashes: some ask, and the others are coded."""
+        h = F.xxhash64("vec", F.lit(seed))
+        rows = units.select("vec", h.alias("h")).orderBy("h").limit(CODED + ASKING).toPandas()["vec"]
+        vecs = np.stack(rows.to_numpy()).astype(np.float64)
+        asking = vecs[:: max(1, len(vecs) // ASKING)]
+        turn = rotation(vecs.shape[1], seed)
+        found = estimate(*signs(vecs, turn), asking @ turn)
+        return Quantizer(vecs.shape[1], float(np.quantile(np.abs(found - vecs @ asking.T), quantile)), seed)
 
     @property
     def bytes_per_vector(self) -> int:
-        return len(self.rotation) // 8 + 2
+        return self.d // 8 + 2
 
-    def encoded(self, units: DataFrame) -> DataFrame:
-        """row_id, code (packed signs) and scale."""
-        rotation = self.rotation
+    def with_codes(self, units: DataFrame) -> DataFrame:
+        """units with `_code`, packed bits, and `_scale`."""
         ship(units.sparkSession)
+        d, seed = self.d, self.seed
 
-        def run(frames):
-            for f in frames:
-                codes, scale = encode(np.stack(f["vec"].to_numpy()).astype(np.float64), rotation) if len(f) else (np.zeros((0, 8)), np.zeros(0))
-                yield pd.DataFrame({"row_id": f["row_id"], "code": [x.tobytes() for x in np.packbits(codes > 0, axis=1)], "scale": scale.astype("float32")})
-
-        return units.select("row_id", "vec").mapInPandas(run, "row_id long, code binary, scale float")
+        @F.pandas_udf("struct<code: binary, scale: float>")
+        def code(vec: pd.Series) -> pd.DataFrame:
+            bits, scale = signs(np.stack(vec.to_numpy()).astype(np.float64), rotation(d, seed))
+            return pd.DataFrame({"code": [x.tobytes() for x in np.packbits(bits, axis=1)], "scale": scale.astype(np.float32)})
 
-    def estimated(self, codes: DataFrame, spec: ScoreSpec) -> DataFrame:
-        """row_id and estimate of the inner product with the query."""
-        q, d = np.asarray(spec.dense) @ self.rotation, len(self.rotation)
-        ship(codes.sparkSession)
+        coded = units.withColumn("_c", code("vec"))
+        return coded.select(*units.columns, F.col("_c.code").alias("_code"), F.col("_c.scale").alias("_scale"))
 
-        def run(frames):
-            for f in frames:
-                bits = np.unpackbits(np.frombuffer(b"".join(f["code"]), np.uint8).reshape(len(f), -1), axis=1)[:, :d] if len(f) else np.zeros((0, d))
-                yield pd.DataFrame({"row_id": f["row_id"], "estimate": (bits * 2.0 - 1.0) @ q * f["scale"].to_numpy()})
+    def estimated(self, spec: ScoreSpec) -> Column:
+        """The estimate of the inner product with the query, of rows with codes; their vectors are not read."""
+        asked, d = np.asarray(spec.dense)[None, :] @ rotation(self.d, self.seed), self.d
 
-        return codes.mapInPandas(run, "row_id long, estimate double")
-
-    def top_k(self, units: DataFrame, codes: DataFrame, spec: ScoreSpec, k: int, digits: int | None = None) -> DataFrame:
-        """Estimates first, then the exact score of every row that may be among the k best."""
-        estimates = self.estimated(codes, spec)
-        least = estimates.orderBy(F.desc("estimate"), "row_id").limit(k).agg(F.min("estimate").alias("_least"))
-        kept = estimates.join(F.broadcast(least)).where(F.col("estimate") >= F.col("_least") - 2 * self.eps).select("row_id")
-        return top_k(units.join(kept, "row_id", "left_semi"), spec, k, digits=digits)
+        @F.pandas_udf("double")
+        def guess(code: pd.Series, scale: pd.Series) -> pd.Series:
+            bits = np.unpackbits(np.frombuffer(b"".join(code), np.uint8).reshape(len(code), -1), axis=1)[:, :d]
+            return pd.Series(estimate(bits, scale.to_numpy(np.float64), asked)[:, 0])
 
+        return guess("_code", "_scale")
 
-def encode(vecs: np.ndarray, rotation: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signs (1 or -1) and scale of unit vectors."""
-    y = vecs @ rotation
-    codes = np.where(y >= 0, 1.0, -1.0)
-    size = np.abs(y).sum(1)
-    return codes, np.where(size > 1e-6, 1.0 / np.maximum(size, 1e-6), 0.0)
+    def candidates(self, coded: DataFrame, spec: ScoreSpec, k: int, least: float = float("-inf")) -> tuple[DataFrame, float]:
+        """The rows that may be among the k best, and the k-th estimate of all seen so far, of which `least` is the last.
 
+        The estimate stands in for the dense part of the score; all else of it is exact."""
+        ship(coded.sparkSession)
+        rest = ScoreSpec(None, spec.sparse, 0.0, spec.beta, spec.gamma, spec.now, spec.half_life)
+        guess = F.lit(spec.alpha) * self.estimated(spec) + fused(rest)
+        best = coded.select(guess.alias("_e")).orderBy(F.desc("_e")).limit(k).collect()
+        least = max(least, best[-1]["_e"]) if len(best) >= k else least
+        return coded.withColumn("_e", guess).where(F.col("_e") >= least - 2 * spec.alpha * self.eps).drop("_e"), least
 
-def exact_products(units: DataFrame, spec: ScoreSpec) -> DataFrame:
-    return units.select("row_id", inner_product(F.col("vec"), vector(spec.dense)).alias("exact"))
+    def top_k(self, coded: DataFrame, spec: ScoreSpec, k: int, digits: int | None = None) -> DataFrame:
+        """Estimates first, then the exact score of every row that may be among the k best."""
+        return top_k(self.candidates(coded, spec, k)[0], spec, k, digits=digits)

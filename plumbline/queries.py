@@ -5,11 +5,15 @@ its label.  Blocks are the embeddings' labels, so that block queries have a plai
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
 from functools import cache
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import score as S
@@ -17,7 +21,7 @@ from .functions.predicates import InSet, Range, conjunction, verdict
 from .model import Config, ScoreSpec
 from .operators import assemble as A
 from .operators import layout, search, summary
-from .operators.quantize import Quantizer
+from .operators.quantize import Quantizer, rotation
 from .plans.ql import parse
 from .sources.store import Store
 
@@ -42,9 +46,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@cache
+def _rows_of(spark: SparkSession, sf: str, name: str) -> int:
+    return table(spark, sf, name).count()
+
+
 def units(spark: SparkSession, sf: str) -> DataFrame:
     docs, emb, events, labels = (table(spark, sf, t) for t in ("documents", "embeddings", "events", "labels"))
-    ne, nv = emb.count(), events.count()
+    ne, nv = _rows_of(spark, sf, "embeddings"), _rows_of(spark, sf, "events")
     d = docs.withColumn("_e", F.col("doc_id") % ne).withColumn("_v", F.col("doc_id") % nv)
     e = emb.select(F.col("vec_id").alias("_e"), F.col("embedding").alias("vec"), "label")
     v = events.select(F.col("event_id").alias("_v"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), "value")
@@ -55,8 +64,12 @@ def units(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def terms(u: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
-    each = u.select(*by, "row_id", F.explode(F.split(F.lower("text"), r"[^\p{L}0-9]+", -1)).alias("term")).where("term <> ''")
+def terms(u: DataFrame, by: list[str] = [], only: list[str] | None = None) -> DataFrame:  # noqa: B006
+    """`by`, row_id, term, w of the units' texts; of the terms `only`, if given, before anything is shuffled."""
+    words = F.split(F.lower("text"), r"[^\p{L}0-9]+", -1)
+    if only is not None:
+        words = F.filter(words, lambda x: x.isin(only))
+    each = u.select(*by, "row_id", F.explode(words).alias("term")).where("term <> ''")
     return each.groupBy(*by, "row_id", "term").agg((F.log(F.count(F.lit(1)).cast("double")) + 1).alias("w"))
 
 
@@ -121,7 +134,7 @@ def topk_sparse(spark, sf):
 def _sparse(spark, u: DataFrame) -> DataFrame:
     """row_id, s: the long form of the sparse product, a join with the query's few terms before the sums."""
     asked = spark.createDataFrame(list(TERMS.items()), "term string, qw double")
-    return terms(u).join(F.broadcast(asked), "term").groupBy("row_id").agg(F.sum(F.col("w") * F.col("qw")).alias("s"))
+    return terms(u, only=list(TERMS)).join(F.broadcast(asked), "term").groupBy("row_id").agg(F.sum(F.col("w") * F.col("qw")).alias("s"))
 
 
 @query(top_sql(f"0.5 * {REC}"))
@@ -141,7 +154,7 @@ def topk_hybrid_recency(spark, sf):
 
 def _hybrid(spark, sf, gamma):
     u = units(spark, sf)
-    per_row = terms(u).where(F.col("term").isin(list(TERMS))).groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("terms"))
+    per_row = terms(u, only=list(TERMS)).groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("terms"))
     spec = probe(spark, sf, sparse=TERMS, alpha=0.7, beta=0.3, gamma=gamma)
     return search.top_k(u.select("row_id", "vec", "ts").join(per_row, "row_id", "left"), spec, K, digits=6)
 
@@ -227,7 +240,7 @@ FACETS = f"""{U}, f AS (SELECT label AS block_id, lang AS value, vec, ts FROM u)
 
 
 def _facets(spark, sf):
-    return summary.facets(units(spark, sf).withColumn("block_id", F.col("label")), ["block_id"], ["lang"], _dimensions(sf, spark))
+    return summary.facets(units(spark, sf).withColumn("block_id", F.col("label")), ["block_id"], ["lang"], _dimensions(sf, spark)).drop("facet", "kind")
 
 
 @query(f"WITH {FACETS} SELECT block_id, value, n, round(radius, 6) AS radius, round(max_ts, 3) AS max_ts FROM fr")
@@ -245,6 +258,40 @@ def merge_rollup(spark, sf):
     return summary.merge_dense(children, ["parent"], _dimensions(sf, spark)).select("parent", "n", F.round("radius", 6).alias("radius"))
 
 
+MERGED = f"""{U}, z AS (SELECT label % 3 AS parent, count(*) AS n, min(n_chars) AS lo_n_chars, max(value) AS hi_value, max(ts) AS max_ts, count(*) FILTER (quality IS NULL) AS nulls_quality, list_sort(list(DISTINCT lang)) AS set_lang FROM u GROUP BY ALL)"""
+
+
+@query(f"WITH {MERGED} SELECT parent, n, lo_n_chars, round(hi_value, 6) AS hi_value, round(max_ts, 3) AS max_ts, nulls_quality, array_to_string(set_lang, ',') AS langs, 0::BIGINT AS terms_below FROM z")
+def merge_summary(spark, sf):
+    """Blocks' whole summaries merged, beside what the rows give; terms_below counts merged term maxima below the rows' own."""
+    u, d = units(spark, sf).withColumn("block_id", F.col("label")), _dimensions(sf, spark)
+    e = u.select("block_id", "vec")
+    dense = summary.radii(e, summary.centroids(e, ["block_id"], d), ["block_id"])
+    t = terms(u, ["block_id"])
+    children = dense.join(summary.zone_maps(u, ["block_id"], ["n_chars", "value", "quality"], ["lang"]).drop("n"), "block_id").join(summary.sparse_summary(t, ["block_id"], LAM), "block_id")
+    m = summary.merge(children.withColumn("parent", F.col("block_id") % 3), ["parent"], d, LAM)
+    own = t.groupBy((F.col("block_id") % 3).alias("parent"), "term").agg(F.max("w").alias("w"))
+    below = own.join(m.select("parent", "kept", "residual"), "parent").groupBy("parent").agg(F.count(F.when(F.coalesce(F.try_element_at("kept", F.col("term")), F.col("residual")) < F.col("w") - 1e-9, 1)).alias("terms_below"))
+    out = m.join(below, "parent")
+    return out.select("parent", "n", "lo_n_chars", F.round("hi_value", 6).alias("hi_value"), F.round("max_ts", 3).alias("max_ts"), F.col("nulls_quality").cast("long").alias("nulls_quality"), F.array_join("set_lang", ",").alias("langs"), "terms_below")
+
+
+@query(f"WITH {U}, b AS (SELECT source, label, count(*) AS n FROM u GROUP BY ALL) SELECT count(*) AS leaves, sum(n)::BIGINT AS rows, 1::BIGINT AS roots, 0::BIGINT AS violations, 0::BIGINT AS missed FROM b")
+def summary_tree(spark, sf):
+    """The tree over blocks: one root of all rows, no child's bound above its parent's, and no block lost on the way down."""
+    u, d = units(spark, sf).withColumn("block_id", F.concat_ws("-", "source", "label")), _dimensions(sf, spark)
+    s = summary.summarize(u.select("block_id", "vec", "n_chars", "lang", "ts"), ["block_id"], d, ["n_chars"], ["lang"])
+    levels, bound = layout.build_tree(s, d, f"{_shared(spark)}/plumbline/tree-{uuid.uuid4().hex}", fanout=4), summary.dense_bound(probe(spark, sf))
+    own = [x.select("parent", bound.alias("ub")) if "parent" in x.columns else None for x in levels]
+    over = 0
+    for children, parents in zip(own, levels[1:]):
+        over += children.join(parents.select(F.col("node").alias("parent"), bound.alias("most")), "parent").where("ub > most + 1e-9").count()
+    least = levels[0].select(bound.alias("ub")).agg(F.percentile("ub", 0.8)).first()[0]
+    missed = levels[0].select("node", bound.alias("ub")).where(F.col("ub") > least).join(layout.descend(levels, bound, least), "node", "left_anti").count()
+    root = levels[-1].agg(F.count(F.lit(1)), F.sum("n")).first()
+    return spark.createDataFrame([(levels[0].count(), root[1], root[0], over, missed)], "leaves long, rows long, roots long, violations long, missed long")
+
+
 @query(f"WITH {U} SELECT lang, count(*) AS n, 1::BIGINT AS langs FROM u GROUP BY lang")
 def partition_layout(spark, sf):
     """The layout's blocks hold one value of the partitioning column each."""
@@ -253,21 +300,26 @@ def partition_layout(spark, sf):
     return per_block.groupBy("lang").agg(F.sum("n").alias("n"), F.max("langs").alias("langs"))
 
 
-FILTERED = f"""b AS (SELECT lang AS block_id, length(term)::BIGINT * 131 + ascii(term) AS id FROM t),
- p AS (SELECT block_id, ((id % 2048) * 433 + i * (xor(id % 2048, 619) * 1589)) % 2048 AS p FROM b CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS i)),
+FILTERED = """b AS (SELECT lang AS block_id, ('0x' || substr(md5(term), 1, 15))::BIGINT AS id FROM t),
+ p AS (SELECT block_id, (id % 2048 + i * (((id >> 11) % 2048) | 1)) % 2048 AS p FROM b CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS i)),
  w AS (SELECT block_id, (p // 64)::INT AS word, bit_or((1::UBIGINT << (p % 64)::UBIGINT)) AS bits FROM p GROUP BY ALL)"""
 
 
 @query(f"WITH {U}, {T}, {FILTERED} SELECT block_id, word, bit_count(bits)::INT AS ones FROM w")
 def term_filter(spark, sf):
     u = units(spark, sf).withColumn("block_id", F.col("lang"))
-    ids = terms(u, ["block_id"]).select("block_id", (F.length("term").cast("long") * 131 + F.ascii("term")).alias("term_id"))
-    return summary.term_filter(ids.distinct(), ["block_id"]).select("block_id", "word", F.bit_count("bits").alias("ones"))
+    ids = terms(u, ["block_id"]).select("block_id", "term").distinct().select("block_id", summary.term_id(F.col("term")).alias("term_id"))
+    return summary.term_filter(ids, ["block_id"]).select("block_id", "word", F.bit_count("bits").alias("ones"))
+
+
+@query(f"WITH {U}, {T}, {FILTERED} SELECT block_id, round(sum(bit_count(bits)) / 2048.0, 6) AS saturation FROM w GROUP BY block_id")
+def filter_saturation(spark, sf):
+    return _sparse_summaries(spark, sf, True).select("block_id", F.round(summary.saturation(F.col("words")), 6).alias("saturation"))
 
 
 # --- bounds
 
-UBD = "cos(greatest(0, acos(greatest(-1, least(1, list_inner_product(centroid, q.q)))) - radius))"
+UBD = f"(cos(greatest(0, acos(greatest(-1, least(1, list_inner_product(centroid, q.q)))) - radius)) + {summary.LENGTH_SLACK:.1e})"
 
 
 @query(f"WITH {RAD}, {Q} SELECT block_id, round({UBD}, 6) AS ub FROM c JOIN r USING (block_id) CROSS JOIN q")
@@ -280,10 +332,12 @@ UBS = f"""{MAXIMA}, {QT}, nm AS (SELECT block_id, max(nn) AS max_norm FROM (SELE
  sb AS (SELECT block_id, least(held + residual * greatest(0, (SELECT sum(qw) FROM qt) - covered), (SELECT sqrt(sum(qw * qw)) FROM qt) * max_norm) AS sparse_ub FROM k JOIN nm USING (block_id))"""
 
 
+def _sparse_summaries(spark, sf, filtered):
+    return summary.sparse_summary(terms(units(spark, sf).withColumn("block_id", F.col("lang")), ["block_id"]), ["block_id"], LAM, filtered)
+
+
 def _sparse_bounds(spark, sf):
-    t = terms(units(spark, sf).withColumn("block_id", F.col("lang")), ["block_id"])
-    spec = ScoreSpec(None, TERMS, 0.0, 1.0)
-    return summary.sparse_bounds(summary.term_maxima(t, ["block_id"], LAM), summary.max_row_norms(t, ["block_id"]), ["block_id"], spec, LAM)
+    return _sparse_summaries(spark, sf, False).select("block_id", summary.sparse_bound(ScoreSpec(None, TERMS, 0.0, 1.0), False).alias("sparse_ub"))
 
 
 @query(f"WITH {U}, {UBS} SELECT block_id, round(sparse_ub, 6) AS ub FROM sb")
@@ -291,6 +345,28 @@ def bound_sparse(spark, sf):
     return _sparse_bounds(spark, sf).select("block_id", F.round("sparse_ub", 6).alias("ub"))
 
 
+#: Terms that blocks of small size mostly do not hold, beside one that all do.
+RARE = {"the": 0.5, "password": 1.0, "licensed": 0.7, "aulich": 0.4, "nowhere": 2.0}
+SMALL = T.replace("label, lang, term", "block_id, term").replace("label, lang, unnest", "source || '-' || label AS block_id, unnest")
+UBR = f"""{SMALL}, qt(term, qw) AS (VALUES {", ".join(f"('{t}', {w}::DOUBLE)" for t, w in RARE.items())}),
+ tm AS (SELECT block_id, term, max(w) AS w FROM t GROUP BY ALL), rk AS (SELECT block_id, term, w, row_number() OVER (PARTITION BY block_id ORDER BY round(w, 9) DESC, term) AS rank FROM tm),
+ {FILTERED.replace("SELECT lang AS block_id", "SELECT DISTINCT block_id")},
+ qp AS (SELECT DISTINCT term, ((id % 2048 + i * (((id >> 11) % 2048) | 1)) % 2048) AS p FROM (SELECT term, ('0x' || substr(md5(term), 1, 15))::BIGINT AS id FROM qt) CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS i)),
+ bp AS (SELECT DISTINCT block_id, p FROM p),
+ need AS (SELECT term, count(*) AS c FROM qp GROUP BY term), hit AS (SELECT block_id, term, count(*) = any_value(c) AS maybe FROM bp JOIN qp USING (p) JOIN need USING (term) GROUP BY block_id, term),
+ nm AS (SELECT block_id, max(nn) AS max_norm FROM (SELECT block_id, row_id, sqrt(sum(w * w)) AS nn FROM t GROUP BY ALL) GROUP BY block_id),
+ res AS (SELECT block_id, coalesce(max(w) FILTER (rank > {LAM}), 0) AS residual FROM rk WHERE rank <= {LAM + 1} GROUP BY block_id),
+ each AS (SELECT res.block_id, qw * CASE WHEN rk.w IS NOT NULL THEN rk.w WHEN coalesce(hit.maybe, false) THEN residual ELSE 0 END AS part FROM res CROSS JOIN qt LEFT JOIN rk ON rk.block_id = res.block_id AND rk.term = qt.term AND rank <= {LAM} LEFT JOIN hit ON hit.block_id = res.block_id AND hit.term = qt.term)"""
+
+
+@query(f"WITH {U}, {UBR} SELECT block_id, round(least(s, nq * mn), 6) AS ub FROM (SELECT block_id, sum(part) AS s, any_value(max_norm) AS mn FROM each JOIN nm USING (block_id) GROUP BY block_id) CROSS JOIN (SELECT sqrt(sum(qw * qw)) AS nq FROM qt)")
+def bound_sparse_filtered(spark, sf):
+    """The bound with the term filter: a residual counts only for terms that the filter may hold."""
+    u = units(spark, sf).withColumn("block_id", F.concat_ws("-", "source", "label"))
+    s = summary.sparse_summary(terms(u, ["block_id"]), ["block_id"], LAM)
+    return s.select("block_id", F.round(summary.sparse_bound(ScoreSpec(None, RARE, 0.0, 1.0)), 6).alias("ub"))
+
+
 LANGS = f"""g AS (SELECT lang AS block_id, vec, ts FROM u), m AS (SELECT block_id, i, avg(x) AS x FROM (SELECT block_id, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM g) GROUP BY ALL), ml AS (SELECT block_id, list(x ORDER BY i) AS m FROM m GROUP BY block_id),
  c AS (SELECT block_id, list_transform(m, lambda x: x / greatest(sqrt(list_inner_product(m, m)), 1e-12)) AS centroid FROM ml), r AS (SELECT block_id, max(acos(greatest(-1, least(1, list_inner_product(vec, centroid))))) AS radius, max(ts) AS max_ts FROM g JOIN c USING (block_id) GROUP BY block_id)"""
 UBF = f"0.6 * {UBD} + 0.3 * sparse_ub + 0.2 * power(0.5, greatest(0, {NOW} - max_ts) / 2592000)"
@@ -314,7 +390,7 @@ def bound_violations(spark, sf):
     """Units that score above their block's bound; there are none."""
     spec = probe(spark, sf, sparse=TERMS, alpha=0.6, beta=0.3, gamma=0.2)
     u = units(spark, sf).withColumn("block_id", F.col("lang"))
-    per_row = terms(u).where(F.col("term").isin(list(TERMS))).groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("terms"))
+    per_row = terms(u, only=list(TERMS)).groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("terms"))
     scored = search.scored(u.select("row_id", "block_id", "vec", "ts").join(per_row, "row_id", "left"), spec)
     return scored.join(_fused_bounds(spark, sf), "block_id").groupBy("block_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("score") > F.col("ub"), 1)).alias("violations"))
 
@@ -365,11 +441,15 @@ def topk_pruned(spark, sf):
     return _rounded(search.pruned_top_k(u, search.bounds(s, spec, p), spec, K, p).hits)
 
 
-@query()
+@query(f"WITH x AS ({top_sql(DENSE)}) SELECT row_number() OVER (ORDER BY score DESC, row_id) AS rank, score AS best, true AS within FROM x")
 def topk_epsilon(spark, sf):
+    """Each rank's true score, and whether the answer to a factor of 1.2 comes that close."""
     u, s = _blocked(spark, sf)
     spec = probe(spark, sf)
-    return _rounded(search.pruned_top_k(u, search.bounds(s, spec), spec, K, epsilon=0.2).hits)
+    hits = search.pruned_top_k(u, search.bounds(s, spec), spec, K, epsilon=0.2).hits
+    ranked = lambda df, c: df.select(F.row_number().over(Window.orderBy(F.desc("score"), "row_id")).cast("long").alias("rank"), F.round("score", 6).alias(c))
+    # both sides are K rows
+    return ranked(search.top_k(u, spec, K, digits=6), "best").join(ranked(hits, "found"), "rank", "left").select("rank", "best", F.coalesce(F.col("found") * 1.2 + 1e-6 >= F.col("best"), F.lit(False)).alias("within"))
 
 
 BEST = f"ub AS (SELECT label AS block_id, n, round({UBD}, 9) AS ub FROM (SELECT block_id AS label, centroid FROM c) JOIN (SELECT block_id AS label, n, radius FROM r) USING (label) CROSS JOIN q), best AS (SELECT block_id, n, ub, row_number() OVER (ORDER BY ub DESC, block_id::VARCHAR) AS rank FROM ub)"
@@ -384,12 +464,12 @@ def topk_blocks(spark, sf):
     return _rounded(search.pruned_top_k(u, search.bounds(s, spec), spec, K, block_budget=3).hits)
 
 
-@query(f"WITH {OPENED}, h AS (SELECT {DENSE} AS score FROM u JOIN best ON best.block_id = u.label CROSS JOIN q WHERE rank <= 3 ORDER BY score DESC LIMIT {K}) SELECT round(min(score), 6) AS kth_score, round((SELECT ub FROM best WHERE rank = 4), 6) AS max_remaining_bound, (SELECT ub FROM best WHERE rank = 4) <= min(score) AS exact FROM h")
+@query(f"WITH {OPENED}, h AS (SELECT {DENSE} AS score FROM u JOIN best ON best.block_id = u.label CROSS JOIN q WHERE rank <= 3 ORDER BY score DESC LIMIT {K}) SELECT round(min(score), 6) AS kth_score, round((SELECT ub FROM best WHERE rank = 4), 6) AS max_remaining_bound, (SELECT ub FROM best WHERE rank = 4) <= min(score) AS exact, round(greatest(1, (SELECT ub FROM best WHERE rank = 4) / min(score)), 6) AS ratio FROM h")
 def certificate(spark, sf):
     u, s = _blocked(spark, sf)
     spec = probe(spark, sf)
     c = search.pruned_top_k(u, search.bounds(s, spec), spec, K, block_budget=3).certificate
-    return spark.createDataFrame([(round(c.kth_score, 6), round(c.max_remaining_bound, 6), c.exact)], "kth_score double, max_remaining_bound double, exact boolean")
+    return search.certificate_frame(spark, c).select(F.round("kth_score", 6).alias("kth_score"), F.round("max_remaining_bound", 6).alias("max_remaining_bound"), "exact", F.round("ratio", 6).alias("ratio"))
 
 
 @query(f"WITH {OPENED} SELECT count(*) AS blocks_total, 3::BIGINT AS blocks_opened, sum(n)::BIGINT AS rows_total, (sum(n) FILTER (rank <= 3))::BIGINT AS rows_scored FROM best")
@@ -409,21 +489,26 @@ def block_scan_topk(spark, sf):
 # --- the store
 
 
+def _shared(spark) -> str:
+    """The folder that driver and executors share; one of this machine only where Spark runs on it alone."""
+    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "").rstrip("/")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return base or f"file://{_local_folder()}"
+
+
 def _store(spark, sf, **config) -> Store:
-    import uuid
+    return Store(spark, f"{_shared(spark)}/plumbline/store-{uuid.uuid4().hex}", Config(**{"block_size": 64, "max_radius": None, "memtable_rows": 10**9} | config))
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "").rstrip("/")
-    if not base:
-        import tempfile
 
-        base = f"file://{tempfile.mkdtemp(prefix='plumbline-store-')}"
-    path = f"{base}/plumbline/store-{uuid.uuid4().hex}"
-    store = Store(spark, path, Config(**{"block_size": 64, "max_radius": None, "memtable_rows": 10**9} | config))
-    return store
+@cache
+def _local_folder() -> str:
+    path = tempfile.mkdtemp(prefix="plumbline-store-")
+    atexit.register(shutil.rmtree, path, True)
+    return path
 
 
-def _rows(spark, sf):
-    return units(spark, sf).drop("text")
+_rows = units
 
 
 def _parts(u: DataFrame, n: int) -> list[DataFrame]:
@@ -491,6 +576,62 @@ def db_stats(spark, sf):
     return _deleted(spark, sf).stats().select("rows", "segments", "memtable_rows")
 
 
+@query(f"WITH {U} SELECT count(*) + count(*) FILTER (row_id % 5 = 0) AS rows, count(DISTINCT row_id) AS ids, 1::BIGINT AS segments FROM u")
+def lsm_repeated(spark, sf):
+    """Rows inserted twice under one row_id are two rows, through flush and compaction."""
+    store = _store(spark, sf, compact_threshold=9)
+    store.insert(_rows(spark, sf))
+    store.insert(_rows(spark, sf).where("row_id % 5 = 0"))
+    store.flush()
+    store.compact()
+    return store.sealed().agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("row_id").alias("ids"), F.lit(len(store.state["segments"])).cast("long").alias("segments"))
+
+
+@query(top_sql(DENSE, "u.quality = 1 AND u.lang = 'de'"))
+def topk_faceted(spark, sf):
+    """Facets of a number that is a double in the store, asked for by a whole number, and of text."""
+    store = _store(spark, sf, facet_columns=("quality", "lang"))
+    store.insert(_rows(spark, sf).withColumn("quality", F.col("quality").cast("double")))
+    store.flush()
+    return _rounded(store.search(probe(spark, sf), K, [InSet("quality", frozenset({1})), InSet("lang", frozenset({"de"}))]).hits)
+
+
+def _with_terms(spark, sf, **config) -> Store:
+    """A store of the units with the weights of all their terms, flushed."""
+    u = units(spark, sf)
+    maps = terms(u).groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("terms"))
+    store = _store(spark, sf, lam=LAM, **config)
+    store.insert(u.join(maps, "row_id", "left"))
+    store.flush()
+    return store
+
+
+HYBRID = top_sql(f"0.7 * {DENSE} + 0.3 * coalesce(sp.s, 0)", "u.n_chars >= 300", more=f", {SP}", joins="LEFT JOIN sp USING (row_id)")
+
+
+@query(HYBRID)
+def store_hybrid(spark, sf):
+    """Hybrid search through the store, its blocks bounded with the term filter."""
+    return _rounded(_with_terms(spark, sf).search(probe(spark, sf, sparse=TERMS, alpha=0.7, beta=0.3), K, [Range("n_chars", 300)]).hits)
+
+
+@query(HYBRID)
+def store_execute(spark, sf):
+    """The same as a statement, its sections in an order of their own."""
+    vec = table(spark, sf, "embeddings").where(F.col("vec_id") == PROBE).first()["embedding"]
+    statement = "NEAR :v MATCH :t FUSE dense 0.7, sparse 0.3 WHERE n_chars >= 300 SELECT TOP 10 GUARANTEE EXACT"
+    return _rounded(_with_terms(spark, sf).execute(statement, {"v": vec, "t": TERMS}, NOW).hits)
+
+
+@query(top_sql(DENSE, "u.n_chars >= 300"))
+def store_quantized(spark, sf):
+    """Codes first, exact scores of what may do after; the codes' error bound is taken from all of a sample here."""
+    store = _store(spark, sf, quantize=True)
+    store.insert(_rows(spark, sf))
+    store.flush()
+    return _rounded(store.search(probe(spark, sf), K, [Range("n_chars", 300)]).hits)
+
+
 @query("SELECT 'a' AS part, c_custkey AS id, c_acctbal AS balance, c_mktsegment AS segment FROM customer UNION ALL SELECT 'b', s_suppkey, s_acctbal, NULL FROM supplier")
 def union_batches(spark, sf):
     a = table(spark, sf, "customer").select(F.lit("a").alias("part"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
@@ -584,17 +725,26 @@ def seg_blocks(spark, sf):
     return per.agg(F.sum("n").alias("rows"), F.sum("ids").alias("ids"), (F.max("n") <= 64).alias("small"))
 
 
-@query()
+def _turn_sql(d: int = 64, seed: int = 0) -> str:
+    return ", ".join(f"({i}, {j}, {x!r})" for i, row in enumerate(rotation(d, seed).tolist(), 1) for j, x in enumerate(row, 1))
+
+
+ENCODED = f"""{E}, turn(i, j, x) AS (VALUES {_turn_sql()}), v AS (SELECT row_id, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM e),
+ y AS (SELECT row_id, j, sum(v.x * turn.x) AS y FROM v JOIN turn USING (i) GROUP BY ALL)"""
+
+
+@query(f"WITH {ENCODED} SELECT row_id, string_agg(CASE WHEN y >= 0 THEN '1' ELSE '0' END, '' ORDER BY j) AS code, round(1 / sum(abs(y)), 5) AS scale FROM y GROUP BY row_id")
 def quant_encode(spark, sf):
-    e = _vectors(spark, sf)
-    return Quantizer.fit(e).encoded(e).select("row_id", F.hex("code").alias("code"), F.round("scale", 5).alias("scale"))
+    coded = Quantizer(_dimensions(sf, spark), 0.0).with_codes(_vectors(spark, sf))
+    bits = F.concat(*[F.lpad(F.conv(F.hex(F.substring("_code", i + 1, 1)), 16, 2), 8, "0") for i in range(_dimensions(sf, spark) // 8)])
+    return coded.select("row_id", bits.alias("code"), F.round(F.col("_scale").cast("double"), 5).alias("scale"))
 
 
 @query(f"WITH {E}, {Q} SELECT row_id, round(list_inner_product(vec, q.q), 6) AS score FROM e CROSS JOIN q ORDER BY score DESC, row_id LIMIT {K}")
 def quant_topk(spark, sf):
     e = _vectors(spark, sf)
     z = Quantizer.fit(e, quantile=1.0)
-    return z.top_k(e, z.encoded(e), probe(spark, sf), K, digits=6)
+    return z.top_k(z.with_codes(e), probe(spark, sf), K, digits=6)
 
 
 @query(f"WITH {RAD}, {Q}, near AS (SELECT block_id FROM c CROSS JOIN q ORDER BY round(list_inner_product(centroid, q.q), 9) DESC, block_id LIMIT 3) SELECT row_id, round(list_inner_product(vec, q.q), 6) AS score FROM e JOIN near USING (block_id) CROSS JOIN q ORDER BY score DESC, row_id LIMIT {K}")
@@ -602,15 +752,17 @@ def ivf_topk(spark, sf):
     return search.ivf_top_k(_vectors(spark, sf), _summaries(spark, sf), probe(spark, sf), 3, K, digits=6)
 
 
-BATCH = 32
+#: Every how many rows one is a query of the batched search, and queries of a block of them.
+EVERY, BLOCK = 50, 2000
 
 
-@query(f"""WITH {E}, p AS (SELECT row_id AS query, list_transform(vec, lambda x: x / sqrt(list_inner_product(vec, vec))) AS q FROM e WHERE row_id < {BATCH}),
- s AS (SELECT query::INT AS query, row_id, round(list_inner_product(vec, q), 6) AS score FROM e CROSS JOIN p) SELECT query, row_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, row_id) <= {K}""")
+@query(f"""WITH {E}, p AS (SELECT row_id AS query, list_transform(vec, lambda x: x / sqrt(list_inner_product(vec, vec))) AS q FROM e WHERE row_id % {EVERY} = 0),
+ s AS (SELECT query, row_id, round(list_inner_product(vec, q), 6) AS score FROM e CROSS JOIN p) SELECT query, row_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, row_id) <= {K}""")
 def topk_batch(spark, sf):
+    """Every row whose id is divisible by EVERY against all rows, in blocks of BLOCK queries."""
     e = _vectors(spark, sf)
-    q = np.stack([np.asarray(r.vec, np.float64) for r in e.where(F.col("row_id") < BATCH).orderBy("row_id").collect()])
-    return search.batch_top_k(e, q / np.linalg.norm(q, axis=1, keepdims=True), K)
+    asked = e.where(F.col("row_id") % EVERY == 0)
+    return search.batch_over(e, asked, K, BLOCK)
 
 
 @query(f"WITH {U} SELECT count(*) AS rows, sum(row_id)::BIGINT AS ids FROM u")

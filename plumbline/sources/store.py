@@ -1,12 +1,13 @@
 """A store of units: a log-structured layout on Parquet.
 
     <path>/memtable-<n>/     appended batches, not laid out
-    <path>/segment-<n>/      units with block_id, ordered by it
-    <path>/summary-<n>/      a row per block;  <path>/terms-<n>/  their term maxima
+    <path>/segment-<n>/      units with block_id, those of a block together; with codes if configured
+    <path>/summary-<n>/      a row per block, with the files that hold it;  <path>/facets-<n>/  a row per block and value
     <path>/dead-<n>/         row_ids deleted
     <path>/manifest-<n>      JSON naming what is live; the greatest n counts
 
-Files are only added, and a change takes effect with its manifest, so readers and lost writers never see half of one."""
+Files are only added, and a change takes effect with its manifest, so readers never see half of one.  A manifest is made
+only where none of its number is, so of two writers of one version the later fails; one that cannot be read yet is passed over."""
 
 from __future__ import annotations
 
@@ -14,6 +15,7 @@ import json
 import time
 from dataclasses import asdict
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,7 @@ from ..functions.score import l2_normalize
 from ..model import Config, ScoreSpec
 from ..operators import assemble as asm
 from ..operators import layout, search, summary
+from ..operators.quantize import Quantizer
 from ..plans.ql import parse
 
 
@@ -38,21 +41,23 @@ class Store:
 
     def _load(self) -> dict:
         root = self._at(".")
-        if self._fs.exists(root):
-            found = [x.getPath().getName() for x in self._fs.listStatus(root)]
-            versions = [int(n.split("-")[1]) for n in found if n.startswith("manifest-") and "." not in n]
-            if versions:
-                text = self.spark.read.text(f"{self.path}/manifest-{max(versions)}", wholetext=True).first()[0]
-                return json.loads(text)
+        found = [x.getPath().getName() for x in self._fs.listStatus(root)] if self._fs.exists(root) else []
+        for version in sorted((int(n.split("-")[1]) for n in found if n.startswith("manifest-")), reverse=True):
+            text = self.spark.read.text(f"{self.path}/manifest-{version}", wholetext=True).first()
+            try:
+                return json.loads(text[0])
+            except (json.JSONDecodeError, TypeError):  # its writer is not done
+                continue
         return {"version": 0, "next": 0, "memtable": [], "memtable_rows": 0, "segments": [], "dead": [], "columns": {}}
 
     def _commit(self, **changes) -> None:
         state = self.state | changes | {"version": self.state["version"] + 1}
-        out = self._fs.create(self._at(f"manifest-{state['version']}.part"), True)
+        try:
+            out = self._fs.create(self._at(f"manifest-{state['version']}"), False)
+        except Py4JJavaError as e:
+            raise RuntimeError("another writer has committed this version") from e
         out.write(bytearray(json.dumps(state).encode()))
         out.close()
-        if not self._fs.rename(self._at(f"manifest-{state['version']}.part"), self._at(f"manifest-{state['version']}")):
-            raise RuntimeError("another writer has committed this version")
         self.state = state
 
     def _number(self) -> int:
@@ -69,7 +74,9 @@ class Store:
         if not batch.where(~F.coalesce(weights, F.lit(True))).isEmpty():
             raise ValueError("term weights must not be negative: the bounds rest on it")
         name = f"memtable-{self._number()}"
-        batch.withColumn("vec", l2_normalize(F.col("vec")).cast("array<float>")).withColumn("_batch", F.lit(self.state["next"])).write.parquet(f"{self.path}/{name}")
+        # -0.0 becomes the 0.0 that it equals: Parquet's filters tell the two apart
+        zero = {f.name: (F.col(f"`{f.name}`") + F.lit(0.0)).cast(f.dataType) for f in batch.schema.fields if f.dataType.typeName() in ("float", "double")}
+        batch.withColumns(zero | {"vec": l2_normalize(F.col("vec")).cast("array<float>")}).withColumn("_batch", F.lit(self.state["next"])).write.parquet(f"{self.path}/{name}")
         rows = self.spark.read.parquet(f"{self.path}/{name}").count()
         self._commit(memtable=[*self.state["memtable"], name], memtable_rows=self.state["memtable_rows"] + rows, **marks)
         if self.state["memtable_rows"] >= self.config.memtable_rows:
@@ -130,31 +137,38 @@ class Store:
         rows = self.sealed()
         if rows is None:
             return
-        made = self._segment(rows.drop("block_id"))
+        made = self._segment(rows)
         self._commit(segments=made, dead=self.state["dead"] if self.state["memtable"] else [])
 
     def _segment(self, rows: DataFrame) -> list[dict]:
+        rows = rows.drop("block_id", "_code", "_scale")
         first = rows.select(F.size("vec").alias("d")).first()
         if first is None:
             return []
         c, n, d = self.config, self._number(), first["d"]
+        made = {"units": f"segment-{n}", "summary": f"summary-{n}", "facets": None, "facet_columns": [], "quantizer": None, "sparse": "terms" in rows.columns}
         laid = layout.lay_out(rows, c.block_size, c.max_radius, c.partition_by, c.seed)
         laid = laid.withColumn("block_id", F.concat(F.lit(f"{n}:"), "block_id"))
-        laid.repartitionByRange("block_id").sortWithinPartitions("block_id").write.parquet(f"{self.path}/segment-{n}")
+        if c.quantize:
+            z = Quantizer.fit(rows, c.seed)
+            laid, made["quantizer"] = z.with_codes(laid), [z.d, z.eps, z.seed]
+        # blocks come out whole, one after the other: no further shuffle
+        laid.write.option("maxRecordsPerFile", c.file_rows).parquet(f"{self.path}/segment-{n}")
         units = self.spark.read.parquet(f"{self.path}/segment-{n}")
-        fixed = {"row_id", "doc_id", "ordinal", "vec", "terms", "text", "block_id", "_batch"}
-        numeric = [f.name for f in units.schema.fields if f.name not in fixed and f.dataType.typeName() in ("double", "float", "integer", "long")]
-        categorical = [f.name for f in units.schema.fields if f.name not in fixed and f.dataType.typeName() in ("string", "integer") and f.name != "tokens"]
-        made = {"units": f"segment-{n}", "summary": f"summary-{n}", "facets": None, "terms": None, "norms": None}
-        summary.summarize(units, ["block_id"], d, numeric, categorical).write.parquet(f"{self.path}/summary-{n}")
+        fixed = {"row_id", "doc_id", "ordinal", "vec", "terms", "text", "block_id", "_batch", "_code", "_scale"}
+        kinds = {f.name: f.dataType.typeName() for f in units.schema.fields if f.name not in fixed}
+        numeric = [x for x, k in kinds.items() if k in ("double", "float", "integer", "long")]
+        categorical = [x for x, k in kinds.items() if k in ("string", "integer") and x != "tokens"]
+        place = F.concat(F.lit(f"segment-{n}/"), F.substring_index(F.input_file_name(), "/", -1))
+        files = units.select("block_id", place.alias("f")).groupBy("block_id").agg(F.collect_set("f").alias("files"))
+        blocks = summary.summarize(units, ["block_id"], d, numeric, categorical).join(files, "block_id")
+        if made["sparse"]:
+            sparse = summary.sparse_summary(summary.term_table(units, ["block_id"]), ["block_id"], c.lam, c.term_filter)
+            blocks = blocks.join(sparse, "block_id", "left")
+        blocks.write.parquet(f"{self.path}/summary-{n}")
         if c.facet_columns:
-            made["facets"] = f"facets-{n}"
+            made |= {"facets": f"facets-{n}", "facet_columns": list(c.facet_columns)}
             summary.facets(units, ["block_id"], list(c.facet_columns), d).write.parquet(f"{self.path}/facets-{n}")
-        if "terms" in units.columns:
-            terms = summary.term_table(units, ["block_id"])
-            made |= {"terms": f"terms-{n}", "norms": f"norms-{n}"}
-            summary.term_maxima(terms, ["block_id"], c.lam).write.parquet(f"{self.path}/terms-{n}")
-            summary.max_row_norms(terms, ["block_id"]).write.parquet(f"{self.path}/norms-{n}")
         return [made]
 
     # --- reading
@@ -171,11 +185,28 @@ class Store:
             hits = search.top_k(memtable, spec, k, predicates)
             scores = [r.score for r in hits.collect()]
             return search.Result(hits, search.certify(scores, k, float("-inf")), search.SearchStats(), (time.perf_counter() - began) * 1e3)
-        if spec.beta and spec.sparse:
-            maxima, norms = (self._read([s[x] for s in self.state["segments"] if s[x]]) for x in ("terms", "norms"))
-            summaries = summaries.join(summary.sparse_bounds(maxima, norms, ["block_id"], spec, self.config.lam), "block_id", "left")
-        facets = self._read([s["facets"] for s in self.state["segments"]]) if all(s["facets"] for s in self.state["segments"]) else None
-        return search.pruned_top_k(sealed, search.bounds(summaries, spec, predicates, facets), spec, k, predicates, epsilon, block_budget, memtable)
+        segments = self.state["segments"]
+        # a facet counts where every segment has it
+        shared = set.intersection(*[set(s["facet_columns"]) for s in segments])
+        facets = self._read([s["facets"] for s in segments]).where(F.col("facet").isin(sorted(shared))) if shared else None
+        # codes count where one quantizer made all; errors of several are bounded by the greatest
+        made = [s["quantizer"] for s in segments]
+        quantizer = None
+        if spec.alpha and spec.dense and all(made) and len({(d, seed) for d, _, seed in made}) == 1:
+            quantizer = Quantizer(made[0][0], max(eps for _, eps, _ in made), made[0][2])
+        table = search.bounds(summaries, spec, predicates, facets)
+        return search.pruned_top_k(sealed, table, spec, k, predicates, epsilon, block_budget, memtable, self._files, quantizer)
+
+    def _files(self, files: list[str]) -> DataFrame:
+        """The live rows of some files of segments."""
+        by_segment: dict[str, list[str]] = {}
+        for f in sorted(files):
+            by_segment.setdefault(f.split("/")[0], []).append(f"{self.path}/{f}")
+        out = None
+        for names in by_segment.values():
+            rows = self.spark.read.parquet(*names)
+            out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+        return self._live(out)
 
     def context(self, spec: ScoreSpec, budget_tokens: int = 2000, pool: int = 64, predicates=(), epsilon: float = 0.0, block_budget: int | None = None, bridge_gap: int = 1) -> search.Result:
         """A context pack from the `pool` best hits; neighbours that fill gaps obey deletions and predicates."""
@@ -199,9 +230,12 @@ class Store:
         return self.units().where((F.col("doc_id") == doc_id) & (F.col("ordinal") == ordinal))
 
     def stats(self) -> DataFrame:
-        """One row: live units, segments, blocks, live memtable rows, bytes of summaries."""
+        """One row: live units, segments, blocks, live memtable rows, bytes of summaries (facets among them)."""
         summaries, memtable = self._read([s["summary"] for s in self.state["segments"]]), self.memtable()
         blocks, size = summaries.agg(F.count(F.lit(1)), F.sum(summary.summary_bytes(summaries))).first() if summaries is not None else (0, 0)
+        for name in [s["facets"] for s in self.state["segments"] if s["facets"]]:
+            facets = self.spark.read.parquet(f"{self.path}/{name}")
+            size += facets.agg(F.sum(summary.summary_bytes(facets))).first()[0] or 0
         waiting = memtable.count() if memtable is not None else 0
         rows = (self.sealed().count() if summaries is not None else 0) + waiting
         return self.spark.createDataFrame([(rows, len(self.state["segments"]), blocks, waiting, size, size / max(1, rows))], "rows long, segments long, blocks long, memtable_rows long, summary_bytes long, summary_bytes_per_row double")
