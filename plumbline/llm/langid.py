@@ -118,11 +118,14 @@ class Model:
         length[place] = n
         return cls(languages.tolist(), keys, np.log((counts + 0.5) / (totals[length] + 1.0)).astype(np.float32))
 
-    def find(self, hashes: list[int]) -> np.ndarray:
-        """The rows of those hashes that are known."""
+    def find(self, hashes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are known, and the rows of those that are."""
         wanted = np.array(hashes, np.uint64)
-        at = np.minimum(np.searchsorted(self.keys, wanted), max(0, len(self.keys) - 1))
-        return at[self.keys[at] == wanted] if len(self.keys) else at[:0]
+        if not len(self.keys):
+            return np.zeros(len(wanted), bool), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        known = self.keys[at] == wanted
+        return known, at[known]
 
 
 class Predictor:
@@ -133,13 +136,23 @@ class Predictor:
         self.memo: dict[str, int] = {}
         self.rows = np.zeros((1 << 12, max(1, len(model.languages))), np.float32)
 
-    def _word(self, word: str) -> np.ndarray:
-        if len(at := self.model.find([key(word, 0)])):
-            return self.model.logs[at[0]]
+    def _words(self, words: list[str]) -> np.ndarray:
+        """A row of scores for each word, all words of a length of n-grams at once."""
+        logs, out = self.model.logs, np.zeros((len(words), self.rows.shape[1]), np.float32)
+        known, at = self.model.find([key(w, 0) for w in words])
+        out[known] = logs[at]
+        todo = np.flatnonzero(~known)
         for n in range(LONGEST, 0, -1):
-            if len(known := self.model.find([key(g, n) for g in grams(word, n)])):
-                return self.model.logs[known].mean(axis=0)
-        return np.zeros(len(self.model.languages), np.float32)
+            if not len(todo) or not len(self.model.keys):
+                break
+            each = [grams(words[i], n) for i in todo.tolist()]
+            owner = np.repeat(np.arange(len(todo)), [len(x) for x in each])
+            known, at = self.model.find([key(g, n) for x in each for g in x])
+            found = np.bincount(owner[known], minlength=len(todo))
+            sums = np.column_stack([np.bincount(owner[known], weights=logs[at, k], minlength=len(todo)) for k in range(logs.shape[1])])
+            out[todo[found > 0]] = sums[found > 0] / found[found > 0, None]
+            todo = todo[found == 0]
+        return out
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         words = LETTERS.findall((text or "").lower())
@@ -148,11 +161,11 @@ class Predictor:
         memo = self.memo
         if len(memo) > MEMO_ENTRIES:
             memo.clear()
-        for w in set(words).difference(memo):
-            if len(memo) >= len(self.rows):
+        if new := list(set(words).difference(memo)):
+            while len(memo) + len(new) > len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[len(memo)] = self._word(w)
-            memo[w] = len(memo)
+            self.rows[len(memo) : len(memo) + len(new)] = self._words(new)
+            memo.update(zip(new, range(len(memo), len(memo) + len(new))))
         total = self.rows[np.fromiter(map(memo.__getitem__, words), np.int64, len(words))].sum(axis=0, dtype=np.float64)
         best = int(total.argmax())
         return self.model.languages[best], 1.0 / math.fsum(math.exp(max(-700.0, x - total[best])) for x in total.tolist())
