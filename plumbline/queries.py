@@ -733,7 +733,7 @@ ENCODED = f"""{E}, turn(i, j, x) AS (VALUES {_turn_sql()}), v AS (SELECT row_id,
  y AS (SELECT row_id, j, sum(v.x * turn.x) AS y FROM v JOIN turn USING (i) GROUP BY ALL)"""
 
 
-@query(f"WITH {ENCODED} SELECT row_id, string_agg(CASE WHEN y >= 0 THEN '1' ELSE '0' END, '' ORDER BY j) AS code, round(1 / sum(abs(y)), 5) AS scale FROM y GROUP BY row_id")
+@query(f"WITH {ENCODED} SELECT row_id, string_agg(CASE WHEN y >= 0 THEN '1' ELSE '0' END, '' ORDER BY j) AS code, round((1 / sum(abs(y)))::FLOAT::DOUBLE, 5) AS scale FROM y GROUP BY row_id")
 def quant_encode(spark, sf):
     coded = Quantizer(_dimensions(sf, spark), 0.0).with_codes(_vectors(spark, sf))
     bits = F.concat(*[F.lpad(F.conv(F.hex(F.substring("_code", i + 1, 1)), 16, 2), 8, "0") for i in range(_dimensions(sf, spark) // 8)])
