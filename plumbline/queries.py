@@ -697,22 +697,64 @@ def _pack(spark, sf):
     return own, A.assemble(own, BUDGET, 1, known)
 
 
-@query()
+#: The greedy choice as a recursion over its steps, and the filling of gaps as one over the chosen units in a row.
+CHOICE = f"""{HITS}, c AS (SELECT row_number() OVER (ORDER BY score DESC, row_id) AS i, row_id, doc_id, ordinal, tokens, score, vec, coalesce(text, '') AS text FROM h),
+ al AS (SELECT a.i, list(greatest(0, least(1, list_inner_product(a.vec, b.vec))) ORDER BY b.i) AS alike FROM c a CROSS JOIN c b GROUP BY a.i),
+ p AS (SELECT c.*, alike FROM c JOIN al USING (i)), wl AS (SELECT list(greatest(0, score) ORDER BY i) AS w, count(*) AS n FROM c),
+ g(step, i, gain, chosen, covered, spent) AS (
+  SELECT 0, 0::BIGINT, 0::DOUBLE, []::BIGINT[], list_transform(range(n), lambda x: 0::DOUBLE), 0::BIGINT FROM wl
+  UNION ALL
+  SELECT step + 1, i, gain, list_append(chosen, i), after, spent FROM (SELECT *, row_number() OVER (ORDER BY gain / greatest(1, tokens) DESC, i) AS r FROM (
+   SELECT g.step, p.i, p.tokens, g.chosen, g.spent + p.tokens AS spent, list_transform(range(1, n + 1), lambda j: greatest(p.alike[j], g.covered[j])) AS after,
+    list_sum(list_transform(range(1, n + 1), lambda j: greatest(p.alike[j] - g.covered[j], 0) * w[j])) AS gain
+   FROM g JOIN p ON NOT list_contains(g.chosen, p.i) AND g.spent + p.tokens <= {BUDGET} CROSS JOIN wl) WHERE gain > 1e-6) WHERE r = 1),
+ last AS (SELECT * FROM g ORDER BY step DESC LIMIT 1)"""
+SPANS = f"""{CHOICE}, picked AS (SELECT p.*, step, min(step) OVER (PARTITION BY doc_id) AS first FROM g JOIN p USING (i) WHERE step > 0),
+ row AS (SELECT *, row_number() OVER (ORDER BY first, ordinal) AS k, lead(ordinal) OVER (PARTITION BY doc_id ORDER BY ordinal) - ordinal AS gap FROM picked),
+ known AS (SELECT DISTINCT u.row_id, u.doc_id, u.ordinal, u.tokens, coalesce(u.text, '') AS text, coalesce(c.score, 0) AS score FROM u JOIN h ON u.doc_id = h.doc_id AND abs(u.ordinal - h.ordinal) <= 1 LEFT JOIN c ON c.row_id = u.row_id),
+ gap AS (SELECT k, CASE WHEN gap = 1 THEN 0 ELSE f.tokens END AS price, f.row_id, f.ordinal, f.tokens, f.text, f.score FROM row LEFT JOIN known f ON gap = 2 AND f.doc_id = row.doc_id AND f.ordinal = row.ordinal + 1),
+ fill(k, slack, filled) AS (SELECT 0::BIGINT, {BUDGET} - spent, true FROM last UNION ALL SELECT gap.k, slack - CASE WHEN price <= slack THEN price ELSE 0 END, coalesce(price <= slack, false) FROM fill JOIN gap ON gap.k = fill.k + 1),
+ member AS (SELECT k, row_id, ordinal, tokens, text, score, 0 AS bridged FROM row UNION ALL SELECT k, row_id, ordinal, tokens, text, score, 1 FROM gap JOIN fill USING (k) WHERE filled AND row_id IS NOT NULL),
+ island AS (SELECT k, count(*) FILTER (NOT filled) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS island FROM fill),
+ span AS (SELECT island, any_value(row.doc_id) AS doc_id, min(m.ordinal) AS start_ordinal, max(m.ordinal) AS end_ordinal, sum(m.tokens)::BIGINT AS tokens, string_agg(m.row_id::VARCHAR, ',' ORDER BY m.ordinal) AS row_ids, max(m.score) AS score,
+  sum(m.bridged)::INT AS bridged, coalesce(string_agg(m.text, ' ' ORDER BY m.ordinal) FILTER (m.text <> ''), '') AS text FROM member m JOIN island USING (k) JOIN row USING (k) GROUP BY island)"""
+
+
+@query(f"WITH RECURSIVE {CHOICE} SELECT (step - 1)::INT AS step, row_id, tokens, score FROM g JOIN p USING (i) WHERE step > 0")
 def context_select(spark, sf):
     own, pack = _pack(spark, sf)
     return spark.createDataFrame([(n, own[i].row_id, own[i].tokens, own[i].score) for n, i in enumerate(pack.chosen)], "step int, row_id long, tokens long, score double")
 
 
-@query()
+def _spans(spark, pack) -> DataFrame:
+    rows = [(s.doc_id, s.start_ordinal, s.end_ordinal, s.tokens, ",".join(map(str, s.row_ids)), s.score, s.bridged) for s in pack.spans]
+    return spark.createDataFrame(rows, "doc_id long, start_ordinal int, end_ordinal int, tokens long, row_ids string, score double, bridged int")
+
+
+SPAN = "doc_id, start_ordinal, end_ordinal, tokens, row_ids, score, bridged"
+
+
+@query(f"WITH RECURSIVE {SPANS} SELECT {SPAN} FROM span")
 def context_spans(spark, sf):
-    _, pack = _pack(spark, sf)
-    return spark.createDataFrame([(s.doc_id, s.start_ordinal, s.end_ordinal, s.tokens, s.row_ids, s.score, s.bridged) for s in pack.spans], "doc_id long, start_ordinal int, end_ordinal int, tokens long, row_ids array<long>, score double, bridged int")
+    return _spans(spark, _pack(spark, sf)[1])
 
 
-@query()
+@query(f"""WITH RECURSIVE {SPANS} SELECT string_agg('[doc ' || doc_id || ' units ' || start_ordinal || '-' || end_ordinal || ' (' || tokens || ' tok, score ' || printf('%.3f', score) || ')]' || chr(10) || text, chr(10) || chr(10) ORDER BY score DESC, island) AS context,
+ sum(tokens)::BIGINT AS tokens, round((SELECT list_sum(list_transform(range(1, n + 1), lambda j: covered[j] * w[j])) / list_sum(w) FROM last CROSS JOIN wl), 6) AS coverage, round((SELECT sum(gain) FROM g), 6) AS utility FROM span""")
 def context_render(spark, sf):
     _, pack = _pack(spark, sf)
-    return spark.createDataFrame([(pack.render(), pack.tokens, pack.coverage, pack.utility)], "context string, tokens long, coverage double, utility double")
+    return spark.createDataFrame([(pack.render(), pack.tokens, round(pack.coverage, 6), round(pack.utility, 6))], "context string, tokens long, coverage double, utility double")
+
+
+@query(f"WITH RECURSIVE {SPANS} SELECT {SPAN} FROM span")
+def store_context(spark, sf):
+    """The same pack by a statement through the store, whose search keeps scores unrounded."""
+    store = _store(spark, sf)
+    store.insert(_rows(spark, sf))
+    store.flush()
+    vec = table(spark, sf, "embeddings").where(F.col("vec_id") == PROBE).first()["embedding"]
+    result = store.context(parse("SELECT CONTEXT NEAR :v").bind({"v": vec}, NOW), BUDGET, POOL)
+    return _spans(spark, result.context).withColumn("score", F.round("score", 6))
 
 
 # --- layout, codes, lists

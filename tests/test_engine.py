@@ -420,7 +420,7 @@ def test_bridging_needs_all_fillers_and_room():
     assert [s.row_ids for s in asm.stitch([u[0], u[1]], 0, 0, {})] == [[0, 1]]
 
 
-SLOW = {"lsm_repeated", "topk_faceted", "store_hybrid", "store_execute", "store_quantized", "summary_tree", "lsm_compact_topk", "topk_multisegment", "lsm_delete_topk", "db_stats", "lsm_flush", "stream_ingest", "partition_layout"}
+SLOW = {"store_context", "lsm_repeated", "topk_faceted", "store_hybrid", "store_execute", "store_quantized", "summary_tree", "lsm_compact_topk", "topk_multisegment", "lsm_delete_topk", "db_stats", "lsm_flush", "stream_ingest", "partition_layout"}
 
 
 def test_queries_match_their_sql(spark, sf):
