@@ -385,6 +385,24 @@ def test_quantised_search(corpus):
     assert found >= 0.95 * 30
 
 
+def test_probing_of_blocks_reaches_its_recall(corpus):
+    """A quarter of the blocks that lay_out makes, against brute force."""
+    laid = layout.lay_out(corpus, 64, None).cache()
+    s = summary.centroids(laid, ["block_id"], D).cache()
+    probes, found = max(1, s.count() // 4), 0
+    specs = synth.queries(6, D, 8)
+    for spec in specs:
+        found += len({i for _, i in brute(corpus, spec)} & {r.row_id for r in search.ivf_top_k(laid, s, spec, probes, 10).collect()})
+    assert found >= 0.9 * 10 * len(specs)
+
+
+def test_batches_in_blocks_of_queries(corpus):
+    asked = corpus.where("row_id % 50 = 0")
+    whole, parts = (sorted(map(tuple, search.batch_over(corpus, asked, 5, n).collect())) for n in (1000, 7))
+    assert whole == parts and len(whole) == 5 * asked.count()
+    assert search.batch_over(corpus, asked.limit(0), 5, 7).count() == 0
+
+
 def test_batch_equals_single(corpus):
     specs = synth.queries(3, D, 8)
     rows = search.batch_top_k(corpus, np.array([s.dense for s in specs]), 5).collect()
