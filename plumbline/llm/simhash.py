@@ -11,11 +11,12 @@ A bucket links into stars (its own components), so no bucket gives more rows tha
 again under pairs of 8-bit parts of the other 32 bits; what shares those too is at most 65536 distinct fingerprints.
 
 `representatives`, the filter, looks for texts alike in at least 0.8 of their five-word shingles.  Those differ in more
-bits than RADIUS, so it takes WIDE_RADIUS on a first fingerprint and SECOND_RADIUS on a second one of another seed, which keeps
-chance links out.  Cut into WIDE_RADIUS + 2 parts, fingerprints that link agree in at least two, so the same scheme finds
-all links; buckets beyond CHUNKED are compared in pairs of chunks, so that no task holds more than two chunks.  At sf0.1
-that radius finds 0.47 of the pairs of distinct texts at 0.8 and more, and none below 0.5 (10 would find 0.75).  Candidates
-grow as n^2 / 2^13 for n distinct fingerprints: fit for some 10^9; beyond that a lesser radius must do.
+bits than RADIUS: of 64, 9.7 on average at 0.8 (the angle whose cosine is 2 x 0.8 / 1.8).  So each text has PRINTS
+fingerprints that fail independently; a link is within WIDE_RADIUS on any one of them, and within TOTAL bits on all
+together, which is the mean at 0.8 and a standard deviation, and keeps chance links out.  Cut into WIDE_RADIUS + 2
+parts, fingerprints that link agree in at least two, so the same scheme finds all links; buckets beyond CHUNKED are
+compared in pairs of chunks, so that no task holds more than two chunks.  Candidates grow as PRINTS x n^2 / 2^13 for n
+distinct fingerprints: fit for some 10^9; beyond that a lesser radius must do.
 
 Defined results: null text counts as empty; texts without words have fingerprint zero and link like any other.  A
 component's id is its smallest doc_id that is not null (null if all are).  Repeated rows and extra columns are harmless;
@@ -38,46 +39,68 @@ BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
 #: Fingerprints in a bucket beyond which it is dealt again, and lanes compared at once at least.
 LARGE, LANES = 2048, 1 << 15
 
-#: The filter's shingle, seeds, and radius on the first and the second fingerprint; distinct fingerprints of a chunk.
-WIDE_SHINGLE, SEEDS, WIDE_RADIUS, SECOND_RADIUS, CHUNKED = 5, (42, 43), 8, 14, 1 << 15
+#: The filter's shingle, how many fingerprints, radius on one of them and on all; distinct fingerprints of a chunk.
+WIDE_SHINGLE, PRINTS, WIDE_RADIUS, TOTAL, CHUNKED = 5, 3, 8, 34, 1 << 15
 
 #: Shingles whose hashes are summed at once.
 CHUNK = 1 << 16
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The fingerprint of a text as an unsigned number."""
+def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th of independent hash functions, from the values of the first (k = 0), which stay."""
+    if not k:
+        return hashes
+    # steps and multipliers of the splitmix64 generator (fixed values)
+    with np.errstate(over="ignore"):
+        x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def fingerprints(text: str | None, shingle: int = SHINGLE, count: int = 1) -> list[int]:
+    """The first `count` fingerprints of a text as unsigned numbers."""
     from xxhash import xxh64_intdigest as h
 
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return [0] * count
     joined = b" ".join(words)
-    if len(words) <= shingle:
-        return h(joined, seed)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
-    starts = (ends - sizes)[: len(words) - shingle + 1].tolist()
-    ends = ends[shingle - 1 :].tolist()
-    ones = np.zeros(BITS, np.int64)
+    starts = (ends - sizes)[: max(1, len(words) - shingle + 1)].tolist()
+    ends = ends[min(shingle, len(words)) - 1 :].tolist()
+    ones = np.zeros((count, BITS), np.int64)
     for i in range(0, len(starts), CHUNK):
-        hashes = np.array([h(joined[a:b], seed) for a, b in zip(starts[i : i + CHUNK], ends[i : i + CHUNK])], ">u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(starts)).tobytes(), "big")
+        hashes = np.array([h(joined[a:b], SEED) for a, b in zip(starts[i : i + CHUNK], ends[i : i + CHUNK])], np.uint64)
+        for k in range(count):
+            ones[k] += np.unpackbits(mixed(hashes, k).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return [int.from_bytes(np.packbits(x).tobytes(), "big") for x in ones * 2 > len(starts)]
+
+
+def fingerprint(text: str | None) -> int:
+    return fingerprints(text)[0]
 
 
-def with_fingerprints(docs: DataFrame, text: str = "text", shingle: int = WIDE_SHINGLE) -> DataFrame:
-    """docs with its rows in a struct `row`, beside `a` and `b`: the fingerprints of both SEEDS as signed longs."""
+def print_columns(count: int) -> list[str]:
+    return [f"p{k}" for k in range(count)]
+
+
+def with_fingerprints(docs: DataFrame, text: str = "text", shingle: int = WIDE_SHINGLE, count: int = PRINTS) -> DataFrame:
+    """docs with its rows in a struct `row`, beside p0, p1, ..: the first `count` fingerprints as signed longs."""
     prepare(docs.sparkSession)
+    names = print_columns(count)
 
     def run(batches):
         for b in batches:
-            texts = b.column(1).to_pylist()
-            prints = [pa.array(np.array([fingerprint(x, shingle, seed) for x in texts], np.uint64).view(np.int64)) for seed in SEEDS]
-            yield pa.RecordBatch.from_arrays([b.column(0), *prints], ["row", "a", "b"])
+            found = np.array([fingerprints(x, shingle, count) for x in b.column(1).to_pylist()], np.uint64).reshape(-1, count).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(found[:, k]) for k in range(count)]], ["row", *names])
 
     rows = docs.select(F.struct("*").alias("row"), empty_if_null(text).alias("text"))
-    return rows.mapInArrow(run, rows.select("row").schema.add("a", "long").add("b", "long"))
+    schema = rows.select("row").schema
+    for name in names:
+        schema = schema.add(name, "long")
+    return rows.mapInArrow(run, schema)
 
 
 def hexadecimal(fp: Column) -> Column:
@@ -135,11 +158,11 @@ def _beyond(counts: np.ndarray, radius: int) -> np.ndarray:
     return more
 
 
-def star_edges(prints: np.ndarray, buckets: np.ndarray, radius: int = RADIUS, second: np.ndarray | None = None, second_radius: int = BITS) -> list[tuple[int, int]]:
+def star_edges(prints: np.ndarray, buckets: np.ndarray, radius: int = RADIUS, others: list[np.ndarray] = (), total: int = 0) -> list[tuple[int, int]]:
     """Edges by position that join all fingerprints (uint64) which stand in one bucket and link within the radius.
 
-    `buckets` numbers the buckets, in runs; `second` are fingerprints that must link within a radius of their own.  The
-    edges are a tree for each component, not all its pairs."""
+    `buckets` numbers the buckets, in runs; with `others`, further fingerprints of the same texts, links must also be
+    within `total` on all fingerprints together.  The edges are a tree for each component, not all its pairs."""
     root = list(range(len(prints)))
 
     def find(i: int) -> int:
@@ -152,8 +175,8 @@ def star_edges(prints: np.ndarray, buckets: np.ndarray, radius: int = RADIUS, se
     alive, shift = buckets[:-1] == buckets[1:], 1
     while alive.any():
         at = planes.near(shift, alive, radius)
-        if second is not None and len(at):
-            at = at[np.bitwise_count(second[at] ^ second[at + shift]) <= second_radius]
+        if len(others) and len(at):
+            at = at[sum(np.bitwise_count(x[at] ^ x[at + shift]).astype(np.int64) for x in (prints, *others)) <= total]
         for i in at.tolist():
             a, b = find(i), find(i + shift)
             if a != b:
@@ -231,29 +254,39 @@ def parts_of(radius: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(ends, ends[1:])]
 
 
-def wide_links(prints: DataFrame, radius: int = WIDE_RADIUS, second: int = SECOND_RADIUS, chunk: int = CHUNKED) -> DataFrame:
-    """Edges (u, v) over distinct fingerprints (a, b) that join all within `radius` by a and within `second` by b.
-
-    u and v are the two as one binary of 16 bytes.  There are as many buckets as pairs of parts have values, so their sizes
-    are a table of bounded length (below 400,000 rows at the radius of 8), whatever the number of fingerprints."""
-    part = lambda p: F.shiftrightunsigned("a", p[0]).bitwiseAND(F.lit((1 << p[1]) - 1))
-    keys = [F.struct(F.lit(k).alias("pair"), F.shiftleft(part(x), y[1]).bitwiseOR(part(y)).cast("int").alias("key")) for k, (x, y) in enumerate(combinations(parts_of(radius), 2))]
-    dealt = prints.select("a", "b", F.explode(F.array(*keys)).alias("k")).select("a", "b", "k.pair", "k.key")
-    crowded = stored(dealt.groupBy("pair", "key").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks")).where("chunks > 1"), "crowded")
-    dealt = dealt.join(F.broadcast(crowded), ["pair", "key"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+def wide_links(prints: DataFrame, radius: int = WIDE_RADIUS, total: int = TOTAL, chunk: int = CHUNKED) -> DataFrame:
+    """Edges (u, v) over distinct rows of fingerprints (all columns of `prints`) that join all which are within `radius`
+    on one of them and within `total` on all.
+
+    u and v are a row's fingerprints as one binary.  There are as many buckets as pairs of parts have values, so their
+    sizes are a table of bounded length (356,000 rows a fingerprint at the radius of 8), whatever the number of rows."""
+    names, pairs = prints.columns, list(combinations(parts_of(radius), 2))
+    part = lambda p: F.shiftrightunsigned("own", p[0]).bitwiseAND(F.lit((1 << p[1]) - 1))
+    # the fingerprint and the pair in the upper half, the value in the lower
+    keys = [F.shiftleft(F.col("at") * len(pairs) + k, 32).bitwiseOR(F.shiftleft(part(x), y[1])).bitwiseOR(part(y)) for k, (x, y) in enumerate(pairs)]
+    each = prints.select(*names, F.posexplode(F.array(*names)).alias("at", "own")).withColumn("at", F.col("at").cast("long"))
+    dealt = each.select(*names, F.explode(F.array(*keys)).alias("bucket"))
+    crowded = stored(dealt.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("chunks")).where("chunks > 1"), "crowded")
+    dealt = dealt.join(F.broadcast(crowded), "bucket", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     # a chunk meets itself and each other one: in a bucket of c chunks a row goes to c units of work
-    own = F.pmod(F.xxhash64("a", "b"), F.col("chunks")).cast("int")
-    units = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    units = units.select("a", "b", "pair", "key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
-    by = ["pair", "key", "one", "two"]
+    own = F.pmod(F.xxhash64(*names), F.col("chunks"))
+    units = dealt.withColumn("chunk", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    units = units.select(*names, "bucket", F.shiftleft(F.least("chunk", "other"), 32).bitwiseOR(F.greatest("chunk", "other")).alias("unit"))
+    by = ["bucket", "unit"]
 
     def run(batches):
-        for (a, b), buckets in _whole_buckets(batches, by, ["a", "b"]):
-            edges = np.array(star_edges(a, buckets, radius, b, second), np.int64).reshape(-1, 2)
-            both = np.column_stack([a, b]).astype(">u8")
-            yield pa.RecordBatch.from_arrays([pa.array([both[i].tobytes() for i in edges[:, k].tolist()], pa.binary()) for k in (0, 1)], ["u", "v"])
+        for (bucket, *found), buckets in _whole_buckets(batches, by, ["bucket", *names]):
+            at = (bucket >> np.uint64(32)) // np.uint64(len(pairs))
+            rows = np.column_stack(found).astype(">u8")
+            # the fingerprint that a bucket was dealt by, in runs since rows come by bucket
+            ends = np.searchsorted(at, np.arange(len(found) + 1))
+            for k, (i, j) in enumerate(zip(ends, ends[1:])):
+                if j - i > 1:
+                    others = [x[i:j] for n, x in enumerate(found) if n != k]
+                    edges = i + np.array(star_edges(found[k][i:j], buckets[i:j], radius, others, total), np.int64).reshape(-1, 2)
+                    yield pa.RecordBatch.from_arrays([pa.array([rows[e].tobytes() for e in edges[:, side].tolist()], pa.binary()) for side in (0, 1)], ["u", "v"])
 
-    return units.repartition(*by).sortWithinPartitions(*by, "a").select("a", "b", *by).mapInArrow(run, "u binary, v binary")
+    return units.repartition(*by).sortWithinPartitions(*by).select(*names, *by).mapInArrow(run, "u binary, v binary")
 
 
 def classes(prints: DataFrame) -> DataFrame:
@@ -284,7 +317,7 @@ def _slim(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(docs[f"`{doc_id}`"].cast("long").alias("doc_id"), empty_if_null(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = WIDE_SHINGLE, radius: int = WIDE_RADIUS, second: int = SECOND_RADIUS) -> DataFrame:
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = WIDE_SHINGLE, radius: int = WIDE_RADIUS, total: int = TOTAL) -> DataFrame:
     """docs with one row of each component of near copies, the one with the smallest doc_id, and all its columns.
 
     Texts without words are near copies of each other.  Of rows with one doc_id the least hash of text, then of all
@@ -292,9 +325,10 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     the others the least row of each fingerprint is found first, then the least of each component."""
     rows = stored(with_fingerprints(docs, text, shingle), "printed")
     half = lambda c: F.lpad(F.hex(c), 16, "0")
-    fp = F.unhex(F.concat(half("a"), half("b")))
-    counts = stored(rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "counts")
-    roots = stored(components(wide_links(counts.select("a", "b"), radius, second)).select(F.col("node").alias("fp"), "root"), "roots")
+    names = print_columns(PRINTS)
+    fp = F.unhex(F.concat(*[half(c) for c in names]))
+    counts = stored(rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n")), "counts")
+    roots = stored(components(wide_links(counts.select(*names), radius, total)).select(F.col("node").alias("fp"), "root"), "roots")
     joint = counts.where("n > 1").select(fp.alias("fp")).unionByName(roots.select("fp")).distinct()
     maybe, alone = in_buckets(rows.withColumn("fp", fp), F.col("fp"), stored(joint, "joint"))
     order = F.struct(F.col(f"row.`{doc_id}`").isNull(), F.col(f"row.`{doc_id}`"), F.xxhash64(F.col(f"row.`{text}`")), tie(docs, "row."))

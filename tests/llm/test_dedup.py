@@ -104,27 +104,41 @@ def test_simhash_components(make):
     assert sorted(map(repr, map(tuple, rows))) == sorted(map(repr, want))
 
 
-def _pairs(t, shingle=5):
+def _mixed(x, k):
+    if k:
+        x = (x + k * 0x9E3779B97F4A7C15) % 2**64
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+        x ^= x >> 31
+    return x
+
+
+def _prints(t, shingle=5, count=3):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     shingles = [" ".join(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))] if w else []
     out = []
-    for seed in (42, 43):
-        h = [xxhash.xxh64_intdigest(x.encode(), seed) for x in shingles]
+    for k in range(count):
+        h = [_mixed(xxhash.xxh64_intdigest(x.encode(), 42), k) for x in shingles]
         out.append(sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h)))
     return out
 
 
+def _alike(p, q):
+    bits = [(a ^ b).bit_count() for a, b in zip(p, q)]
+    return min(bits) <= 8 and sum(bits) <= 34
+
+
 def test_representatives(make):
-    """One row of each component by both fingerprints, found by comparing all pairs."""
+    """One row of each component by all fingerprints, found by comparing all pairs."""
     texts = _corpus()
-    prints = [_pairs(t) for _, t in texts]
+    prints = [_prints(t) for _, t in texts]
     left, groups = set(range(len(texts))), []
     while left:
         todo, seen = [left.pop()], set()
         while todo:
             i = todo.pop()
             seen.add(i)
-            near = {j for j in left if (prints[i][0] ^ prints[j][0]).bit_count() <= 8 and (prints[i][1] ^ prints[j][1]).bit_count() <= 14}
+            near = {j for j in left if _alike(prints[i], prints[j])}
             left -= near
             todo += near
         groups.append(seen)
@@ -144,23 +158,23 @@ def test_rows_alike_but_for_other_columns_leave_the_same_one(make):
 def test_wide_links_in_chunks(spark, chunk):
     """All links of the radius, be buckets whole or in pairs of chunks."""
     rng = np.random.default_rng(4)
-    prints = [(0, 0)]
+    prints = [(0, 0, 0)]
     while len(prints) < 500:
-        a, b = prints[rng.integers(len(prints))] if rng.random() < 0.7 else (int(rng.integers(0, 1 << 63)), int(rng.integers(0, 1 << 63)))
-        for _ in range(rng.integers(1, 12)):
-            a ^= 1 << int(rng.integers(0, 63))
-            b ^= 1 << int(rng.integers(0, 63))
-        prints.append((a, b))
+        p = prints[rng.integers(len(prints))] if rng.random() < 0.7 else [int(x) for x in rng.integers(-(1 << 63), 1 << 63, 3)]
+        # some are near on one fingerprint only, some on none, some beyond the total
+        flips = rng.integers(0, 20, 3)
+        prints.append(tuple((x % 2**64 ^ sum(1 << int(i) for i in rng.choice(64, f, replace=False)) ^ 1 << 63) - 2**63 for x, f in zip(p, flips)))
     prints = sorted(set(prints))
-    node = lambda p: p[0].to_bytes(8, "big") + p[1].to_bytes(8, "big")
-    got = components.components(simhash.wide_links(spark.createDataFrame(prints, "a long, b long"), chunk=chunk)).collect()
+    node = lambda p: b"".join((x % 2**64).to_bytes(8, "big") for x in p)
+    unsigned = {p: [x % 2**64 for x in p] for p in prints}
+    got = components.components(simhash.wide_links(spark.createDataFrame(prints, "a long, b long, c long"), chunk=chunk)).collect()
     left, want = set(prints), {}
     while left:
         todo, seen = [left.pop()], []
         while todo:
             p = todo.pop()
             seen.append(p)
-            near = {q for q in left if (p[0] ^ q[0]).bit_count() <= 8 and (p[1] ^ q[1]).bit_count() <= 14}
+            near = {q for q in left if _alike(unsigned[p], unsigned[q])}
             left -= near
             todo += near
         if len(seen) > 1:
