@@ -10,7 +10,7 @@ import corpus_pipeline
 from plumbline.llm import common, quality, secrets
 
 from .conftest import EDGES
-from .test_dedup import _norm, _pairs
+from .test_dedup import _alike, _norm, _prints
 from .test_text_ops import _packed_right
 
 LIVE = "Qx9Qx9Qx9Qx9Qx9Qx9"
@@ -77,13 +77,13 @@ def test_run_equals_plain_python(spark, small):
         k = _norm(r[1])
         first[k] = min(first.get(k, r), r, key=lambda x: last(x[0]))
     rows = list(first.values())
-    prints, left, kept = [_pairs(t) for _, t, _ in rows], set(range(len(rows))), []
+    prints, left, kept = [_prints(t) for _, t, _ in rows], set(range(len(rows))), []
     while left:
         todo, seen = [left.pop()], []
         while todo:
             i = todo.pop()
             seen.append(i)
-            near = {j for j in left if (prints[i][0] ^ prints[j][0]).bit_count() <= 8 and (prints[i][1] ^ prints[j][1]).bit_count() <= 14}
+            near = {j for j in left if _alike(prints[i], prints[j])}
             left -= near
             todo += near
         kept.append(rows[min(seen, key=lambda i: last(rows[i][0]))])
