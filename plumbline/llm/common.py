@@ -20,6 +20,9 @@ ARROW_ROWS = 1000
 #: (2^28 bits are 8192 pages, 32 MB); and the passes over ranges of the hash beyond one such broadcast.
 SPARE, LEAST_BUCKETS, MOST_BUCKETS, PAGE, PASSES = 16, 1 << 20, 1 << 28, 1 << 15, 4
 
+#: Small rows, or rows with texts, of a file that a shuffle ends in, and files that a table may have in any case.
+SMALL_ROWS, TEXT_ROWS, LEAST_FILES = 50_000, 2000, 24
+
 _own: dict[str, str] = {}
 
 
@@ -80,6 +83,14 @@ def stored(df: DataFrame, kind: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_files(df: DataFrame, rows: int, each: int = SMALL_ROWS) -> DataFrame:
+    """df, which ends in a shuffle of some `rows` rows, in as many files as these need rather than one a partition.
+
+    On a local folder without Hadoop's native library each file costs several processes (chmod), started from the
+    executor; while one starts it shares the executor's memory, which whoever sums up memory by process counts twice."""
+    return df.coalesce(max(LEAST_FILES, -(-rows // each)))
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import in_files, stored
 
 
 #: Parts into which the rows of one node are dealt; beyond them adaptive execution splits what is large.
@@ -33,15 +33,17 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60, nodes: int | None = None) -> DataFrame:
     """(node, root) of each node of `edges` (u, v), root being the least node reachable.  No edges give no rows.
 
-    The rounds follow the logarithm of the longest path; running out of them raises."""
-    edges = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    The rounds follow the logarithm of the longest path; running out of them raises.  `nodes`, if known, tells how many
+    files the first round is worth; it bounds nothing."""
+    edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    edges = stored(edges if nodes is None else in_files(edges, nodes), "edges")
     seen = None
     for _ in range(rounds):
         mark = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
         if mark[0] == 0 or mark == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        seen, edges = mark, stored(_star(_star(edges, True), False), "edges")
+        seen, edges = mark, stored(in_files(_star(_star(edges, True), False), mark[0]), "edges")
     raise RuntimeError(f"components are not settled after {rounds} rounds")

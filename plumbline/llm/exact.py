@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import empty_if_null, in_buckets, stored, tie
+from .common import TEXT_ROWS, empty_if_null, in_buckets, in_files, stored, tie
 
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -70,7 +70,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ha
     row = F.struct("*")
     norm = normalised(empty_if_null(text))
     tagged = docs.select(row.alias("row"), docs[f"`{doc_id}`"].cast("long").alias("doc_id"), norm.alias("norm")).withColumn("h", hash_of(F.col("norm")))
-    repeated = stored(_repeated(tagged.select("h")), "repeated")
+    repeated = stored(in_files(_repeated(tagged.select("h")), docs.count()), "repeated")
     maybe, once = in_buckets(tagged, F.col("h"), repeated)
     least = maybe.groupBy("h", "norm").agg(F.min_by("row", F.struct(*_order(), F.xxhash64(F.col(f"row.`{text}`")).alias("text"), tie(docs, "row.").alias("tie"))).alias("row"))
-    return once.select("row.*").unionByName(least.select("row.*"))
+    return once.select("row.*").unionByName(in_files(least.select("row.*"), repeated.count(), TEXT_ROWS))

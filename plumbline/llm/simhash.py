@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import empty_if_null, in_buckets, prepare, stored, tie
+from .common import TEXT_ROWS, empty_if_null, in_buckets, in_files, prepare, stored, tie
 from .components import components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
@@ -327,12 +327,15 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     half = lambda c: F.lpad(F.hex(c), 16, "0")
     names = print_columns(PRINTS)
     fp = F.unhex(F.concat(*[half(c) for c in names]))
-    counts = stored(rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n")), "counts")
-    roots = stored(components(wide_links(counts.select(*names), radius, total)).select(F.col("node").alias("fp"), "root"), "roots")
+    counts = stored(in_files(rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n")), rows.count()), "counts")
+    distinct = counts.count()
+    linked = components(wide_links(counts.select(*names), radius, total), nodes=distinct)
+    roots = stored(in_files(linked.select(F.col("node").alias("fp"), "root"), distinct), "roots")
     joint = counts.where("n > 1").select(fp.alias("fp")).unionByName(roots.select("fp")).distinct()
-    maybe, alone = in_buckets(rows.withColumn("fp", fp), F.col("fp"), stored(joint, "joint"))
+    joint = stored(in_files(joint, distinct), "joint")
+    maybe, alone = in_buckets(rows.withColumn("fp", fp), F.col("fp"), joint)
     order = F.struct(F.col(f"row.`{doc_id}`").isNull(), F.col(f"row.`{doc_id}`"), F.xxhash64(F.col(f"row.`{text}`")), tie(docs, "row."))
     each = maybe.groupBy("fp").agg(F.min_by(F.struct("row", order.alias("order")), order).alias("least"))
     of_root = each.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = of_root.groupBy("root").agg(F.min_by("least.row", "least.order").alias("row"))
-    return alone.select("row.*").unionByName(least.select("row.*"))
+    return alone.select("row.*").unionByName(in_files(least.select("row.*"), joint.count(), TEXT_ROWS))

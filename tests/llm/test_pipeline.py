@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plumbline.llm import common, quality, secrets
+from plumbline.llm import common, exact, quality, secrets, simhash
 
 from .conftest import EDGES
 from .test_dedup import _alike, _norm, _prints
@@ -108,3 +108,30 @@ def test_nothing_stays_behind(spark, small, tmp_path, monkeypatch):
     monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}/shared")
     assert corpus_pipeline.run(spark, small).count() > 0
     assert len(os.listdir(tmp_path / "shared" / "plumbline")) == 1
+
+
+def test_tables_have_files_by_rows_not_by_partitions(spark, sf, tmp_path, monkeypatch):
+    """With 211 partitions that nothing coalesces, small tables still come in few files, and the result is the same."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 50_000)).cache()
+    stages = [lambda d: exact.deduplicated(d), lambda d: simhash.representatives(d, radius=20, total=192), lambda d: secrets.cleaned(d, corpus=d)]
+    want = [sorted(map(repr, stage(docs).collect())) for stage in stages]
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}/shared")
+    held = {"spark.sql.shuffle.partitions": "211", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = []
+        for i, stage in enumerate(stages):
+            stage(docs).write.parquet(f"{tmp_path}/out-{i}")
+            got.append(sorted(map(repr, spark.read.schema(docs.schema).parquet(f"{tmp_path}/out-{i}").collect())))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        docs.unpersist()
+    assert got == want
+    tables = [*(tmp_path / "shared" / "plumbline").iterdir(), *tmp_path.glob("out-*")]
+    files = {t.name: len(list(t.glob("part-*"))) for t in tables}
+    parts = docs.rdd.getNumPartitions()
+    assert max(files.values()) <= 24 + parts, files
