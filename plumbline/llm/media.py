@@ -5,11 +5,14 @@ A payload is a text's UTF-8 bytes, filled with zero bytes to a positive multiple
 a tar shard in the shared folder.  An index holds digest, shard, offset and length.  Reads of the members' headers
 alone fill the metadata columns (width, height, depth); whole reads give the features.
 
-Tasks write to names of their own attempt, and only the index of the attempt that Spark committed is used, so lost
-executors and repeated tasks leave at most an unused shard.  Media whose digest occurs once are written where they are made; those that
+Tasks write shards and index to names of their own attempt, and only the index of the attempt whose result Spark took is used, so lost
+executors and repeated tasks leave at most an unused shard and index.  Media whose digest occurs once are written where they are made; those that
 may have copies are dropped within a task, then shuffled by digest, so one that a third of all rows share arrives once
 per task.
 
+The Python workers write both, through `pyarrow.fs`: a file that the JVM writes to a local folder costs several processes
+(`common.in_files`).  What follows from the index (metadata, features) is no table: each reading of the result computes it from what is stored.
+
 Defined results: null text counts as empty (64 zero bytes).  Rows are independent; repeated rows, null doc_id and extra
 columns are harmless; an empty table gives an empty table."""
 
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import empty_if_null, in_buckets, new_path, prepare, stored
+from .common import SMALL_ROWS, empty_if_null, in_buckets, in_files, new_path, prepare, stored
 
 WIDTH, BLOCK = 64, 512
 
@@ -135,17 +138,28 @@ def encoded(rows: DataFrame) -> DataFrame:
 def write_shards(media: DataFrame, folder: str, deal: bool = True) -> DataFrame:
     """Writes each digest's media once into tar shards under `folder`; the stored index of them.
 
-    deal False says that no digest comes twice: then each task writes what it has, and no media are shuffled."""
+    deal False says that no digest comes twice: then each task writes what it has, and no media are shuffled.  The driver
+    gets one name a task that has media, of its part of the index."""
+    schema = pa.schema([("digest", pa.binary()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 
     def run(batches):
+        from pyarrow.parquet import ParquetWriter
         from pyspark import TaskContext
 
         task = TaskContext.get()
         fs, base = _filesystem(folder)
         fs.create_dir(base, recursive=True)
         name, out, at, number, last = "", None, 0, 0, None
+        listed, index, rows = f"index-{task.partitionId():06d}-{task.taskAttemptId()}.parquet", None, []
+
+        def flushed():
+            nonlocal rows
+            table, rows = pa.table(list(map(pa.array, zip(*rows), schema.types)), schema), []
+            to = index or ParquetWriter(f"{base}/{listed}", schema, filesystem=fs, compression="zstd")
+            to.write_table(table)
+            return to
+
         for b in batches:
-            rows = []
             for digest, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if digest == last:
                     continue
@@ -164,14 +178,21 @@ def write_shards(media: DataFrame, folder: str, deal: bool = True) -> DataFrame:
                     out.write(b"\0" * (2 * BLOCK))
                     out.close()
                     out = None
-            columns = list(zip(*rows)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.string(), pa.int64(), pa.int64()))], ["digest", "shard", "offset", "length"])
+            if len(rows) >= SMALL_ROWS:
+                index = flushed()
         if out is not None:
             out.write(b"\0" * (2 * BLOCK))
             out.close()
+        if rows:
+            index = flushed()
+        if index is not None:
+            index.close()
+            yield pa.RecordBatch.from_arrays([pa.array([listed])], ["listed"])
 
+    spark = media.sparkSession
     dealt = media.repartition("digest").sortWithinPartitions("digest") if deal else media
-    return stored(dealt.mapInArrow(run, INDEX), "media-index")
+    paths = [f"{folder}/{r.listed}" for r in dealt.mapInArrow(run, "listed string").collect()]
+    return spark.read.schema(INDEX).parquet(*paths) if paths else spark.createDataFrame([], INDEX)
 
 
 def _read(index: DataFrame, folder: str, limit: int | None, f, kinds: list[tuple[str, pa.DataType]], schema: str) -> DataFrame:
@@ -219,18 +240,21 @@ def media_columns(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """Each row's doc_id and n_bytes beside the place, metadata and features of its payload."""
     spark, folder = docs.sparkSession, new_path(docs.sparkSession, "media")
     texts = docs.select(docs[f"`{doc_id}`"].cast("long").alias("doc_id"), empty_if_null(text).alias("text"))
-    digest = F.unhex(F.sha2(payload_column(F.col("text")), 256)).alias("digest")
-    rows = stored(texts.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), digest), "media-rows")
+    # not null by its type, too: the join below would else filter by it, and digest each text twice
+    digest = F.coalesce(F.unhex(F.sha2(payload_column(F.col("text")), 256)), F.lit(b"")).alias("digest")
+    rows = texts.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), digest)
     # only media that may come twice are shuffled to meet their copies
-    repeated = stored(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"), "media-repeated")
+    repeated = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
+    n = docs.count()
+    repeated = stored(in_files(repeated, n), "media-repeated")
     maybe, once = in_buckets(payloads(docs, text), F.col("digest"), repeated)
     index = write_shards(encoded(maybe), folder).unionByName(write_shards(encoded(once), folder, deal=False))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # ranges of places, not whole shards: shards differ in size
     placed = index.repartitionByRange(parts, "shard", "offset").sortWithinPartitions("shard", "offset")
-    read = stored(with_features(with_metadata(placed, folder), folder), "media-features")
+    read = with_features(with_metadata(placed, folder), folder)
     hexadecimal = lambda c: F.lower(F.hex(c)).alias(c)
-    return rows.join(read, "digest").select(
+    return in_files(rows.join(read, "digest"), n).select(
         "doc_id", "n_bytes", "payload_bytes", hexadecimal("payload_sha256"), "tail_crc32", "media_bytes", hexadecimal("media_sha256"), "feature",
         hexadecimal("digest"), "shard", "offset", "length", "width", "height", "depth",
     )

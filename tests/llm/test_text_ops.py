@@ -145,6 +145,37 @@ def test_shards_are_tar_files_with_each_payload_once(edges, spark):
     assert all(hashlib.sha256(media.from_media(d)).hexdigest() + ".png" == n for n, d in found.items())
 
 
+def test_media_writes_few_tables(spark, sf, tmp_path, monkeypatch):
+    """With 211 partitions that nothing coalesces, the JVM writes a few small files, parts of the index come whole, and the result is the same."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = docs.unionByName(docs.limit(100).withColumn("doc_id", F.col("doc_id") + 50_000)).repartition(3)
+    rows = lambda df: sorted(map(repr, df.drop("shard", "offset").collect()))
+    want = rows(media.media_columns(docs))
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}/shared")
+    monkeypatch.setattr(media, "SMALL_ROWS", 2, raising=False)
+    held = {"spark.sql.shuffle.partitions": "211", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        media.media_columns(docs).write.parquet(f"{tmp_path}/shared/plumbline/out")
+        got = rows(spark.read.parquet(f"{tmp_path}/shared/plumbline/out"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == want and len(got) == docs.count()
+    files = {t.name: len(list(t.glob("part-*"))) for t in (tmp_path / "shared" / "plumbline").iterdir()}
+    assert max(files.values()) <= 24 and sum(files.values()) <= 2 * 24, files
+
+
+def test_index_is_of_taken_tasks_only(spark, edges, tmp_path):
+    folder = f"file://{tmp_path}/media"
+    first = media.write_shards(media.encoded(media.payloads(edges)), folder).collect()
+    again = media.write_shards(media.encoded(media.payloads(edges)), folder)  # what another attempt has left lies beside it
+    assert len(first) == again.count() == len({r.digest for r in first})
+    assert not {r.shard for r in first} & {r.shard for r in again.collect()}
+
+
 def test_damaged_media_is_refused():
     data = bytearray(media.to_media(b"a" * 64))
     data[50] ^= 1
